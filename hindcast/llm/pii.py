@@ -15,6 +15,8 @@ results; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,7 @@ _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 
 
+@functools.cache
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     found.add_word("@", ("at", 1))
@@ -259,14 +262,12 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in (*
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: counts and spans of personal data."""
-    anchors: list[ahocorasick.Automaton] = []
 
     def scan(part: pa.RecordBatch) -> dict:
-        if not anchors:
-            anchors.append(automaton())
+        anchors = automaton()
         out: dict[str, list] = {f.name: [] for f in _ARROW}
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            spans = find(text or "", anchors[0])
+            spans = find(text or "", anchors)
             out["doc_id"].append(doc_id)
             for k in BASE_KINDS:
                 out[f"n_{k}"].append(len(spans[k]))

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding
+from . import bpe, licenses, media, pii, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op2_bpe": bpe.query,
+    "op4_licenses": licenses.query,
     "op6_sharding": sharding.query,
+    "op8_media": media.query,
+    "op10_toxicity": toxicity.query,
 }
 
 SQL: dict[str, str] = {

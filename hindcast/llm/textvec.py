@@ -61,11 +61,16 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.raw, self.low, self.offsets = raw, low, offsets
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = spans_hash(low, self.start, self.end)
+        self._prefix = prefix_hash(low)
+        self.hash = self.span_hash(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans of the lower-cased texts."""
+        return hash_between(*self._prefix, start, end)
+
     def text(self, i: int) -> str:
         return self.low[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
 
@@ -94,7 +99,10 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    total, inverse = prefix_hash(data)
+    return hash_between(*prefix_hash(data), start, end)
+
+
+def hash_between(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 

@@ -58,6 +58,7 @@ def test_clean(text):
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a@b.c" * 3, "x"), (3, "a@b.c" * 3, "x"), (None, "+1 555 555 2485", None)], "doc_id long, text string, spans string")
     rows = sorted(map(tuple, pii.personal_data(docs).select("doc_id", "n_email", "n_phone", "spans").collect()), key=str)
-    brute_spans = ",".join(f"email:{a}:{b}" for a, b in brute("a@b.c" * 3)["email"])
-    assert rows == sorted([(1, 0, 0, ""), (2, 0, 0, ""), (3, 3, 0, brute_spans), (3, 3, 0, brute_spans), (None, 0, 1, "phone:0:15")], key=str) or len(brute("a@b.c" * 3)["email"]) != 3
+    emails = brute("a@b.c" * 3)["email"]
+    three = (3, len(emails), 0, ",".join(f"email:{a}:{b}" for a, b in emails))
+    assert rows == sorted([(1, 0, 0, ""), (2, 0, 0, ""), three, three, (None, 0, 1, "phone:0:15")], key=str)
     assert pii.personal_data(docs.limit(0)).count() == 0
