@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    ensure_shared(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back; the caller drops it by its path."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables, wherever the shared folder is."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def pick(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of docs (with column node) whose node is in a stored table (node, n), n being positive.
+
+    The join is left to the optimizer, which may put a Bloom filter of the wanted nodes, of bounded size,
+    under the shuffle, so that other texts need not move; from which size of scan on it does so is set here.
+    """
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    return docs.join(nodes.where("n > 0").select("node"), "node", "left_semi")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table carries."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -53,12 +83,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema, most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, arrow: pa.Schema, most: int = SLICE_BYTES, column: str = "text") -> DataFrame:
     """mapInArrow over byte-bounded slices; `fn` returns the output columns of a slice."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, most=most):
+            for part in slices(batch, column, most):
                 out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

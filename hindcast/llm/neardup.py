@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import edit_distances
-from .common import cut, map_slices, table, texts
+from .common import cut, drop, map_slices, pick, slices, stored, table, texts
 from .components import components
 from .textvec import mix, ngrams, words
 
@@ -95,25 +95,29 @@ def verify_column(part: pa.RecordBatch) -> dict:
         limits.append(int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9))
     found = edit_distances(pairs, limits)
     keep = [i for i, (d, limit) in enumerate(zip(found, limits, strict=True)) if d <= limit]
-    return {"a": part.column("a").take(keep), "b": part.column("b").take(keep), "similarity": [1 - found[i] / max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in keep]}
+    at = pa.array(keep, pa.int64())
+    return {"a": part.column("a").take(at), "b": part.column("b").take(at), "similarity": [1 - found[i] / max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in keep]}
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b, similarity) among candidate pairs (a, b)."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    text = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    text = cut(text.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    sides = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    nodes, p_nodes = stored(sides.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    named = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    text, p_text = stored(pick(named, nodes).groupBy("node").agg(F.first("text").alias("text")))
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     arrow = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = verify_column(batch.slice(at, 512))
+            for part in slices(batch, "text_a"):
+                out = verify_column(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double"))
+    found = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double"))
+    drop(docs.sparkSession, p_nodes, p_text)
+    return found
 
 
 def near(size_a: str, size_b: str) -> F.Column:

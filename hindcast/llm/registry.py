@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, media, pii, sharding, toxicity
+from . import bpe, decontaminate, licenses, media, neardup, pii, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
     "op2_bpe": bpe.query,
     "op4_licenses": licenses.query,
+    "op5_neardup": neardup.query,
     "op6_sharding": sharding.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_media": media.query,
+    "op9_repeats": repeats.query,
     "op10_toxicity": toxicity.query,
 }
 

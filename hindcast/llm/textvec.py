@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; null counts as empty."""
-    column = column.fill_null("").cast(pa.large_binary())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
