@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, media, neardup, pii, repeats, sharding, toxicity
+from . import bpe, decontaminate, licenses, lines, media, neardup, pii, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
     "op2_bpe": bpe.query,
+    "op3_lines": lines.query,
     "op4_licenses": licenses.query,
     "op5_neardup": neardup.query,
     "op6_sharding": sharding.query,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_lines": lines.SQL,
     "op6_sharding": sharding.SQL,
 }
