@@ -95,6 +95,12 @@ def digit_runs(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
     return runs, runs[-1][1]
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
+
+
 def parse_card(text: str, at: int) -> tuple[int, str]:
     """End and digits of the chain from `at` whose digits are at most one space or hyphen apart."""
     n, pos, digits = len(text), at + 1, [text[at]]
@@ -215,7 +221,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
                 if len(runs) >= 4:
                     for i in range(0, len(runs) - 3, 4):
                         four = runs[i : i + 4]
-                        if all(b - a <= 64 and int(text[a:b]) <= 255 for a, b in four):
+                        if all(octet(text[a:b]) for a, b in four):
                             spans["ip"].append((four[0][0], four[3][1]))
             if begin >= card_end:
                 card_end, digits = parse_card(text, begin)

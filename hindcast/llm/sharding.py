@@ -79,7 +79,7 @@ sized AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), summed AS (
   SELECT doc_id, size, CAST(xor(CAST(4294967295 AS UBIGINT), list_reduce(
-    list_prepend(CAST(4294967295 AS UBIGINT), [CAST(('0x' || h[2 * j + 1 : 2 * j + 2]) AS UBIGINT) FOR j IN range(length(h) // 2)]),
+    list_prepend(CAST(4294967295 AS UBIGINT), [CAST(('0x' || x) AS UBIGINT) FOR x IN regexp_extract_all(h, '..')]),
     lambda a, b : xor(a // 256, crc.t[CAST(xor(a, b) % 256 AS INTEGER) + 1]))) AS BIGINT) AS text_crc32
   FROM sized, crc
 ), placed AS (
