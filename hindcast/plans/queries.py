@@ -1,7 +1,7 @@
 """Registered queries over the benchmark tables, each with SQL for comparison.
 
 `events` serves as an event log (user_id, ts, event_type, value) and `orders` as a second one (customer,
-order date, priority). Every query reads whole tables.
+order date, priority). All queries read whole tables.
 """
 
 from __future__ import annotations
