@@ -35,33 +35,31 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
     """Edit distance of each pair, or limit + 1 where it exceeds the limit.
 
     Bands start narrow and double until the distance fits in the band or the band covers the limit,
-    so that the work of near copies follows their distance rather than their length.
+    so that the work of near copies follows their distance rather than their length. Widths are powers
+    of two: pairs of one width go in step, whatever their lengths and limits.
     """
     out = [0] * len(pairs)
-    todo = []
+    todo: dict[int, list[tuple[int, np.ndarray, np.ndarray, int]]] = {}
     for i, ((a, b), limit) in enumerate(zip(pairs, limits, strict=True)):
         a, b = trim(a, b)
         out[i] = limit + 1
+        least = abs(len(a) - len(b))
         if not len(a) or not len(b):
-            out[i] = min(max(len(a), len(b)), limit + 1)
-        elif max(abs(len(a) - len(b)), bag_bound(a, b)) <= limit:
-            todo.append((i, a, b, limit, max(8, abs(len(a) - len(b)))))
+            out[i] = min(least, limit + 1)
+        elif least <= limit and bag_bound(a, b) <= limit:
+            todo.setdefault(max(8, 1 << (least - 1).bit_length() if least else 0), []).append((i, a, b, limit))
     while todo:
-        todo.sort(key=lambda x: (min(x[4], x[3]), len(x[1])))
-        rest, at = [], 0
-        while at < len(todo):
-            width = min(todo[at][4], todo[at][3])
-            end = at
-            while end < len(todo) and min(todo[end][4], todo[end][3]) == width and (end - at + 1) * (2 * width + 1) <= max(CELLS, 2 * width + 1):
-                end += 1
-            group = todo[at:end]
-            for (i, a, b, limit, _), d in zip(group, banded([(a, b) for _, a, b, _, _ in group], width), strict=True):
+        width = min(todo)
+        rows = sorted(todo.pop(width), key=lambda x: len(x[1]))
+        size = max(1, CELLS // (2 * width + 1))
+        for at in range(0, len(rows), size):
+            group = rows[at : at + size]
+            for row, d in zip(group, banded([(a, b) for _, a, b, _ in group], width), strict=True):
+                i, _, _, limit = row
                 if d <= width:
-                    out[i] = d
+                    out[i] = min(d, limit + 1)
                 elif width < limit:
-                    rest.append((i, a, b, limit, 2 * width))
-            at = end
-        todo = rest
+                    todo.setdefault(2 * width, []).append(row)
     return out
 
 
