@@ -1,8 +1,9 @@
-"""Connected components of a link table by alternating star contraction, all in DataFrame joins.
+"""Connected components of a link table by contraction, all in DataFrame joins.
 
-Each round turns every node towards the least node it sees (large star: links to larger neighbours
-move to the least neighbour; small star: the same among smaller ones), which takes a logarithmic
-number of rounds. Every round ends in a reliable checkpoint. Links and labels stay in tables.
+In each round every node points at the least node beside it, pointers are followed twice, and links are
+redrawn between what their ends point at. Node names must stand in no order along the links, as digests
+do; then a round leaves a fraction of the nodes, and a group whose members link to its least node is done
+in one. Rounds end in reliable checkpoints. Links and pointers stay in tables.
 """
 
 from __future__ import annotations
@@ -13,31 +14,20 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def star(links: DataFrame, large: bool) -> DataFrame:
-    """One star step over links (a, b); results are distinct links with b < a."""
-    if large:
-        sides = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    joined = sides.join(low, "a")
-    if large:
-        moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    else:
-        own = low.select("a", F.col("low").alias("b"))
-        moved = joined.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")).union(own)
-    return moved.where(F.col("a") != F.col("b")).distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b), root being the least node of its component."""
+    """(node, root) for every node of links (a, b), one root for each component."""
     links = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        links = cut(star(star(links, True), False))
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return cut(links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
+    found = None
+    while found is None or not links.isEmpty():
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+        after = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        to = cut(low.join(after, "root").select("node", F.col("next").alias("root")))
+        if found is None:
+            found = to
+        else:
+            found = cut(found.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        a, b = to.select(F.col("node").alias("a"), F.col("root").alias("x")), to.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        redrawn = links.join(a, "a").join(b, "b").where(F.col("x") != F.col("y"))
+        links = cut(redrawn.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    return found
