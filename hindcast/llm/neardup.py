@@ -140,8 +140,8 @@ def bucket_pairs(members: DataFrame, small: int) -> DataFrame:
     return cut(every.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes that connect every group of near duplicates."""
+def groups(docs: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with a verified link, one root for each group of near duplicates."""
     docs = texts(docs)
     found = signatures(docs)
     rows = found.select("node", "size", F.explode("keys").alias("key"))
@@ -157,14 +157,23 @@ def links(docs: DataFrame) -> DataFrame:
     large = large.join(found.select("node", "keys"), "node").select(F.explode("keys").alias("other"), "key", "node", "size", "root")
     large = large.where(F.col("other") != F.col("key")).select(F.xxhash64("key", "other").alias("key"), "node", "size", "root")
     split = bucket_pairs(cut(large), PART)
-    two = verify(cut(small.union(split).distinct()), docs)
-    return one.union(two)
+    rest = cut(small.union(split).distinct())
+    if rest.isEmpty():
+        return roots
+    # further links join groups: they are drawn between the roots found so far
+    two = verify(rest, docs)
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    drawn = two.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    over = components(drawn).select(F.col("node").alias("root"), F.col("root").alias("next"))
+    joined = roots.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    new = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("next").alias("root"))
+    return cut(joined.union(new))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Each row's doc_id and node with the class's root, class_id (the least doc_id of its class) and class_size."""
     named = texts(docs).select("doc_id", node_column().alias("node"))
-    roots = components(links(docs))
+    roots = groups(docs)
     per_node = named.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     rooted = cut(per_node.join(roots, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root")))
     totals = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
@@ -179,9 +188,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, that of the least doc_id (nulls last, then by text)."""
     first = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
-    first = cut(first.select("first.doc_id", "first.node"))
-    named = docs.withColumn("node", node_column())
-    kept = named.join(first.withColumnRenamed("doc_id", "keep_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    first = cut(first.select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node")))
+    kept = docs.join(first, (node_column() == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     # rows that repeat both doc_id and text: one of them
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return kept.groupBy("doc_id", "node").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in others)).select(*docs.columns)
+    return kept.dropDuplicates(["__id", "__node"]).select(*(f"`{c}`" for c in docs.columns))

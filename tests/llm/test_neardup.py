@@ -50,8 +50,13 @@ def test_local_alignment(cases):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (3, 7), (20, 20), (11, 12), (50, 7)] + [(100 + i, 101 + i) for i in range(40)]
-    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {1: 1, 2: 1, 3: 1, 7: 1, 50: 1, 10: 10, 11: 10, 12: 10, **{100 + i: 100 for i in range(41)}}
+    names = dict(zip(range(200), np.random.default_rng(0).permutation(200).tolist(), strict=True))
+    frame = spark.createDataFrame([(names[a], names[b]) for a, b in links], "a long, b long")
+    groups = {}
+    for r in components(frame).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(names[i] for i in g) for g in ([1, 2, 3, 7, 50], [10, 11, 12], range(100, 141)))
+    assert components(frame.limit(0)).count() == 0
 
 
 def make(rng):
@@ -111,6 +116,12 @@ def test_keep_one(spark):
     assert neardup.keep_one(spark, docs.limit(0), "").count() == 0
 
 
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h", 5, "x", 1.5), (2, "a b c d e f g h", 6, "y", None), (3, "p q r", 7, None, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, root string, key double")
+    assert sorted(tuple(r) for r in neardup.keep_one(spark, docs, "").collect()) == [rows[0], rows[2]]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 50])
 def test_picks_follow_order(n):
     h = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
