@@ -199,8 +199,9 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     full = marked.where("whole").select("node", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     # Partners of open runs: the open ones themselves (their texts have no copies) and one run of each class that is told already.
     wanted = marked.where(~F.col("whole")).select("anchor").distinct()
-    classes = marked.where("whole").join(wanted, "anchor", "left_semi").groupBy("anchor", "outer", "before", "width")
-    told = classes.agg(F.min(F.struct("node", "at", "low", "high")).alias("r")).select("r.*", "anchor")
+    # classes are made before the join, so that a periodic text, all of whose runs are alike, sends one row for each
+    classes = marked.where("whole").groupBy("anchor", "outer", "before", "width").agg(F.min(F.struct("node", "at", "low", "high")).alias("r"))
+    told = classes.join(wanted, "anchor", "left_semi").select("r.*", "anchor")
     runs_at = marked.where(~F.col("whole")).select("node", "at", "low", "high", "anchor").union(told)
     runs_at = runs_at.groupBy("node").agg(F.collect_list(F.struct("anchor", "at", "low", "high")).alias("runs"), F.count(F.lit(1)).alias("n"))
     runs_at, p_wanted = stored(runs_at)
