@@ -38,7 +38,7 @@ from .common import map_slices, slices, table, texts
 from .textvec import Words, mix, ngrams, words
 
 FOLDS = 5
-MAX_LABELLED = 9000
+MAX_LABELLED = 6000
 MAX_TOKENS = 50_000
 PRIOR, FLAT = 500.0, 0.5
 LEAST_RATIO = 18.0
@@ -61,11 +61,11 @@ class Model:
     offset: float
     rate: float
 
-    def word_scores(self, w: Words) -> np.ndarray:
-        """The strongest token of each word."""
-        best = np.full(len(w), self.other)
+    def word_scores(self, tokens: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """The strongest token of each of n words."""
+        best = np.full(n, self.other)
         if len(self.tokens):
-            for hashes, of in word_tokens(w):
+            for hashes, of in tokens:
                 at = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
                 hit = np.flatnonzero(self.tokens[at] == hashes)
                 best[of[hit]] = np.maximum(best[of[hit]], self.weights[at[hit]])
@@ -90,10 +90,10 @@ def held_out(doc_id: int | None) -> bool:
 
 def word_tokens(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """By kind: token hashes and the words they belong to."""
-    found = [(w.hash, np.arange(len(w)))]
+    found = [(w.hash, np.arange(len(w), dtype=np.int32))]
     size = w.end - w.start
     for n in PREFIXES:
-        of = np.flatnonzero(size > n)
+        of = np.flatnonzero(size > n).astype(np.int32)
         found.append((mix(w.span_hash(w.start[of], w.start[of] + n) + np.uint64(n)), of))
     return found
 
@@ -145,8 +145,8 @@ def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int) -> tuple[dict[int
     return dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:MAX_TOKENS]), other
 
 
-def distinct(rows: list[tuple[int, str | None, int]]) -> list[tuple[Words, int]]:
-    """Words and labels of rows without near copies: a row goes if it shares one of a few least word triples with an earlier one of its class."""
+def distinct(rows: list[tuple[int, str | None, int]]) -> list[tuple[list, int, int]]:
+    """Tokens, numbers of words and labels of rows without near copies: a row goes if it shares one of a few least word triples with an earlier one of its class."""
     seen: set[tuple[int, int]] = set()
     out = []
     for _, text, label in rows:
@@ -154,7 +154,7 @@ def distinct(rows: list[tuple[int, str | None, int]]) -> list[tuple[Words, int]]
         h, _ = ngrams(w.hash, w.first, min(3, max(len(w), 1)))
         keys = [(label, int(mix(h ^ np.uint64(s)).min())) for s in range(1, 7)] if len(h) else [(label, 0)]
         if not any(k in seen for k in keys):
-            out.append((w, label))
+            out.append((word_tokens(w), len(w), label))
         seen.update(keys)
     return out
 
@@ -169,7 +169,7 @@ def token_model(tokens: list[np.ndarray], labels: list[int], rate: float) -> Mod
 
 
 def best_segments(w: Words, model: Model) -> list[list[tuple[int, int, float]]]:
-    scores = model.word_scores(w)
+    scores = model.word_scores(word_tokens(w), len(w))
     return [maximal_segments(scores[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
 
 
@@ -186,8 +186,8 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
         return Model(empty, np.zeros(0), -1.0, 0.0, 0.0, 1.0, 0.0, 0.0, rate)
     rows = sorted(rows, key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), r[0]))
     kept = distinct(rows)
-    tokens = [np.unique(np.concatenate([h for h, _ in word_tokens(w)])) for w, _ in kept]
-    labels = [label for _, label in kept]
+    tokens = [np.unique(np.concatenate([h for h, _ in kinds])) for kinds, _, _ in kept]
+    labels = [label for *_, label in kept]
     model = token_model(tokens, labels, rate)
     if not len(model.tokens):
         return model
@@ -195,8 +195,8 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
     for third in range(THIRDS):
         rest = [i for i in range(len(kept)) if i % THIRDS != third]
         other = token_model([tokens[i] for i in rest], [labels[i] for i in rest], rate)
-        for w, label in kept[third::THIRDS]:
-            found.append((best_segments(w, other)[0], len(w), label))
+        for kinds, n, label in kept[third::THIRDS]:
+            found.append((maximal_segments(other.word_scores(kinds, n)), n, label))
     # best scores of clean documents: regression on log length, then a Gumbel law of the rest by moments
     clean = [(max((s for _, _, s in seg), default=0.0), math.log(max(n, 1))) for seg, n, label in found if label == 0]
     best, logs = np.array(clean or [(0.0, 0.0)]).T

@@ -53,7 +53,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_rows(spark):
-    rows = [(i, "you idiot scum go away " * 3 if i % 3 == 0 else "a calm and friendly text about birds " * 3, 0) for i in range(60)]
+    rng = np.random.default_rng(1)  # copies count once in the fit, so texts differ
+    calm = lambda: " ".join(rng.choice([f"bird{i}" for i in range(400)], 40))
+    rows = [(i, calm() + (" you idiot scum " + calm() if i % 3 == 0 else ""), 0) for i in range(60)]
     docs = spark.createDataFrame([*rows, (None, None, 0), (61, "", 0), (3, rows[3][1], 0), (62, "x " * 50000, 0)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (5, None), (7, 9)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
