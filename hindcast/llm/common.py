@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -44,9 +45,16 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back; the caller drops it by its path."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished steps now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables, wherever the shared folder is."""
     for path in paths:

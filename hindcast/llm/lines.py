@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import drop, pick, stored, table
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REST = (1 << 56) - 1
@@ -74,9 +74,9 @@ def line_sets(docs: DataFrame, classes: F.Column) -> DataFrame:
     )
 
 
-def place(prefix: str = "") -> F.Column:
+def place() -> F.Column:
     """Order of lines; a struct compares field by field, nulls first."""
-    return F.struct(*(F.col(f"{prefix}{c}") for c in ("doc_id", "key", "line")))
+    return F.struct("doc_id", "key", "line")
 
 
 def filters() -> F.Column:
@@ -84,7 +84,7 @@ def filters() -> F.Column:
     a, b = F.col("l.size"), F.col("r.size")
     least = F.ceil((a + b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     rest = 1 + F.least(a - F.col("l.at"), b - F.col("r.at"))
-    return (F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9) & (rest >= least) & (place("l.") < place("r."))
+    return (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")) & (F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9) & (rest >= least)
 
 
 def similar() -> F.Column:
@@ -95,20 +95,20 @@ def similar() -> F.Column:
 
 
 def matches(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
-    """Names of later sets among candidate pairs (early, late) that are similar."""
+    """Ids of later sets among candidate pairs (early, late) that are similar."""
     spark = docs.sparkSession
-    involved = pairs.select(F.col("early").alias("name")).union(pairs.select(F.col("late").alias("name"))).distinct()
-    wanted = involved.join(firsts.select("name", "doc_id", "key", "line"), "name").groupBy("doc_id", "key")
-    wanted, p_wanted = stored(wanted.agg(F.collect_list(F.struct("line", "name")).alias("lines"), F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "node"))
+    involved = pairs.select(F.col("early").alias("id")).union(pairs.select(F.col("late").alias("id"))).distinct()
+    wanted = involved.join(firsts.select("id", "doc_id", "key", "line"), "id").groupBy("doc_id", "key")
+    wanted, p_wanted = stored(wanted.agg(F.collect_list(F.struct("line", "id")).alias("lines"), F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "node"))
     own = pick(docs.select("doc_id", F.col("key").alias("node"), "text"), wanted)
-    # rows that repeat doc_id and text give one line
     rows = own.alias("d").join(wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
     lines = rows.select(F.split("text", "\n").alias("content"), F.explode("lines").alias("at"))
-    lines = lines.select("at.name", F.element_at("content", F.col("at.line") + 1).alias("text"))
-    lines, p_lines = stored(lines.groupBy("name").agg(F.min("text").alias("text")))
-    both = pairs.join(lines.select(F.col("name").alias("early"), F.col("text").alias("early_text")), "early")
-    both = both.join(lines.select(F.col("name").alias("late"), F.col("text").alias("late_text")), "late").select("late", "early_text", "late_text")
-    found, path = stored(both.where(similar()).select(F.col("late").alias("name")).distinct())
+    lines = lines.select("at.id", F.element_at("content", F.col("at.line") + 1).alias("text"))
+    # rows that repeat doc_id and text give one line
+    lines, p_lines = stored(lines.groupBy("id").agg(F.min("text").alias("text")))
+    both = pairs.join(lines.select(F.col("id").alias("early"), F.col("text").alias("early_text")), "early")
+    both = both.join(lines.select(F.col("id").alias("late"), F.col("text").alias("late_text")), "late")
+    found, path = stored(both.where(similar()).select(F.col("late").alias("id")).distinct())
     drop(spark, p_wanted, p_lines)
     return found, path
 
@@ -118,25 +118,25 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     spark = docs.sparkSession
     classes = rarity(docs)
     sets = line_sets(docs, classes)
-    grouped = sets.groupBy("name").agg(F.min(place()).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    firsts, p_firsts = stored(grouped.select("name", "first.*", "size", "prefix"))
-    posted = firsts.select("name", "doc_id", "key", "line", "size", F.posexplode("prefix").alias("p", "token"))
-    posted = posted.select("token", "name", "doc_id", "key", "line", "size", (F.col("p") + 1).alias("at"))
-    held, p_held = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    grouped = sets.groupBy("name").agg(F.min(place()).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("name", "first.*", "size", "prefix")
+    # ids follow the order of lines: ranges of it are numbered one after another
+    ranged = grouped.repartitionByRange("doc_id", "key", "line").sortWithinPartitions("doc_id", "key", "line")
+    firsts, p_firsts = stored(ranged.withColumn("id", F.monotonically_increasing_id()))
+    posted = firsts.select("id", "size", F.posexplode("prefix").alias("p", "token")).select("token", "id", "size", (F.col("p") + 1).alias("at"))
+    held, p_held = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1"))
     shared, p_shared = stored(posted.join(held, "token"))
-    heads, p_heads = stored(shared.groupBy("token").agg(F.min(F.struct("doc_id", "key", "line", "name", "size", "at")).alias("h")).select("token", "h.*"))
-    one = heads.alias("l").join(shared.alias("r"), (F.col("l.token") == F.col("r.token")) & filters())
-    one, p_one = stored(one.select(F.col("l.name").alias("early"), F.col("r.name").alias("late")).distinct())
+    one = shared.where("id = head").alias("l").join(shared.alias("r"), filters())
+    one, p_one = stored(one.select(F.col("l.id").alias("early"), F.col("r.id").alias("late")).distinct())
     settled, p_settled = matches(one, firsts, docs)
-    late, p_late = stored(shared.where("n > 2").join(settled, "name", "left_anti"))
-    two = shared.where("n > 2").alias("l").join(late.alias("r"), (F.col("l.token") == F.col("r.token")) & filters())
-    two = two.select(F.col("l.name").alias("early"), F.col("r.name").alias("late")).distinct()
+    late, p_late = stored(shared.where("n > 2").join(settled, "id", "left_anti"))
+    two = shared.where("n > 2 and id != head").alias("l").join(late.alias("r"), filters())
+    two = two.select(F.col("l.id").alias("early"), F.col("r.id").alias("late")).distinct()
     two, p_two = stored(two.join(one, ["early", "late"], "left_anti"))
     more, p_more = matches(two, firsts, docs)
-    drop(spark, p_held, p_shared, p_heads, p_one, p_late, p_two)
+    drop(spark, p_held, p_shared, p_one, p_late, p_two)
     # a set with an earlier match loses all its lines, any other all but its first
-    told = firsts.select("name", place().alias("first")).join(settled.union(more).withColumn("gone", F.lit(True)), "name", "left")
-    told, p_told = stored(told)
+    told = firsts.select("id", "name", place().alias("first")).join(settled.union(more).withColumn("gone", F.lit(True)), "id", "left")
+    told, p_told = stored(told.select("name", "first", "gone"))
     names = line_sets(docs, classes).select("name", "doc_id", "key", "line")
     rows = names.join(told, "name").where(F.col("gone") | (F.col("first") < place())).select("doc_id", "key", "line")
     drop(spark, p_firsts, p_settled, p_more)
@@ -144,19 +144,19 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """Every row with key, and `removed`, the numbers of its lines that go (null: none)."""
-    keyed = docs.withColumn("key", text_key())
-    narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "key", F.col("text").cast("string").alias("text"))
+    """Every row with `__removed`, the numbers of its lines that go (null: none)."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", text_key())
     rows, paths = repeated_lines(narrow)
-    lines = rows.groupBy(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")).agg(F.collect_set("line").alias("removed"))
+    lines = rows.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("line").alias("__removed"))
     lines, _ = stored(lines)
     drop(docs.sparkSession, *paths)
-    return keyed.join(lines, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left").drop("of_id", "of_key")
+    same = (text_key() == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    return docs.join(lines, same, "left").drop("__id", "__key")
 
 
 def kept_text() -> F.Column:
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-    return F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
+    return F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return marked(docs.select("doc_id", "text")).select(
         "doc_id", kept_text().alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).cast("long").alias("n_removed"),
     )
 
 
@@ -175,7 +175,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines go; documents stay, with n_chars of what is left."""
-    found = marked(docs).withColumn("text", kept_text()).withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    found = marked(docs).withColumn("text", kept_text()).withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return found.select(*docs.columns)
 
 

@@ -59,3 +59,9 @@ def test_repeated_rows_and_stage(spark):
     found = sorted((tuple(r) for r in lines.keep_lines(spark, docs, "").collect()), key=str)
     assert found == sorted([rows[0], rows[1], (2, "x y z", None, None, 5), rows[3]], key=str)
     assert lines.keep_lines(spark, docs.limit(0), "").count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e f", 7, 8, 11), (2, "a b c", 9, 10, 5)], "doc_id long, text string, key long, removed long, n_chars long")
+    found = sorted(tuple(r) for r in lines.keep_lines(spark, docs, "").collect())
+    assert found == [(1, "a b c\nd e f", 7, 8, 11), (2, "", 9, 10, 0)]
