@@ -7,10 +7,12 @@ text order, so equal picks need common content in a common order: the chance fol
 Candidates: documents that share a pick. Equal texts are one node from the start. Links are verified
 by banded alignment of the word sequences: similarity 1 - distance / longer length, 0.8 or more.
 First every node is held against the least node of each of its buckets, which joins up groups of
-copies of any size with a linear number of pairs. Then nodes that are still in different groups are
-held against each other: all of a small bucket, and a larger bucket is first split by a second pick
-(nodes that are alike share several), whose parts are small or else groups of copies that keep the
-comparison with their least nodes. Groups are connected components.
+copies of any size with a linear number of pairs. Then nodes that share a bucket and are still in
+different groups are held against each other. In buckets of more than SMALL nodes an exact filter names
+the pairs: texts that are alike differ in at most a fifth of the longer one's words, so in whatever
+common order of words, the first fifth (and one more) of their words have one in common. The order is by
+rarity among the nodes in question, so that a passage which many texts share names no pairs. Groups are
+connected components.
 
 Nothing is gathered in a task by bucket: buckets are join keys, hot ones are split by adaptive
 execution. Null and empty texts are copies of each other as equal texts only; texts of fewer than five
@@ -33,7 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 SAMPLE = 3
-SMALL, PART = 24, 64
+SMALL = 24
+BINS = 1 << 17
 
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -125,19 +128,80 @@ def near(size_a: str, size_b: str) -> F.Column:
     return F.least(size_a, size_b) >= SIMILARITY * F.greatest(size_a, size_b) - 1e-9
 
 
-def bucket_pairs(members: DataFrame, small: int) -> DataFrame:
-    """Candidate pairs of nodes with different roots: all of buckets of at most `small` members, else with the least member."""
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    counted = cut(counted)
-    few = members.join(counted.where(F.col("n") <= small).select("key"), "key", "left_semi")
-    x = few.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    y = few.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    every = x.join(y, (x.key == y.key) & (x.a < y.b) & (x.root_a != y.root_b) & near("size_a", "size_b")).select("a", "b")
-    lead = counted.where(F.col("n") > small).select("key", F.col("least").alias("node"))
-    lead = lead.join(members, ["key", "node"]).select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs of nodes with different roots in the same bucket."""
+    x = members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
     y = members.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    stars = lead.join(y, (lead.key == y.key) & (lead.a != y.b) & (lead.root_a != y.root_b) & near("size_a", "size_b"))
-    return cut(every.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    every = x.join(y, (x.key == y.key) & (x.a < y.b) & (x.root_a != y.root_b) & near("size_a", "size_b"))
+    return cut(every.select("a", "b").distinct())
+
+
+def labelled_words(own: np.ndarray) -> np.ndarray:
+    """Words with repeats told apart, so that shared elements count as in multisets."""
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(own) else np.zeros(0, np.int64)
+    occurrence = np.arange(len(own)) - np.repeat(fresh, np.diff(np.append(fresh, len(own))))
+    return mix(ranked + occurrence.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def rare_words(named: DataFrame) -> DataFrame:
+    """(node, word): the rarest words of each text, one of which texts that are alike have in common.
+
+    Rarity is counted in BINS bins of word hashes, which is all that is sent around; the filter is exact in any order.
+    """
+
+    def count(batches):
+        total = np.zeros(BINS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                w = words(part.column("text"))
+                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                    total += np.bincount((labelled_words(w.hash[a:b]) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "n"])
+
+    counts = np.zeros(BINS, dtype=np.int64)
+    for i, n in named.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+        counts[i] = n
+    shared = named.sparkSession.sparkContext.broadcast(counts)
+
+    def column(part: pa.RecordBatch) -> dict:
+        w = words(part.column("text"))
+        found = []
+        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+            h = labelled_words(w.hash[a:b])
+            order = np.lexsort((h, shared.value[(h % np.uint64(BINS)).astype(np.int64)]))
+            found.append(h[order[: int((1 - SIMILARITY) * len(h) + 1e-9) + 1]].view(np.int64))
+        return {"node": part.column("node"), "words": found}
+
+    made = map_slices(named, column, "node binary, words array<long>", pa.schema([("node", pa.binary()), ("words", pa.list_(pa.int64()))]))
+    return made.select("node", F.explode("words").alias("word"))
+
+
+def split_pairs(members: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """As bucket_pairs, for large buckets: pairs that also share one of their rarest words; None without any such bucket."""
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    members = cut(members.join(mixed, "key"))
+    if members.isEmpty():
+        return None
+    nodes, p_nodes = stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("root").alias("root"), F.collect_set("key").alias("keys")))
+    named = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    text, p_text = stored(pick(named, nodes).groupBy("node").agg(F.first("text").alias("text")))
+    rows = cut(rare_words(text).join(nodes.select("node", "root"), "node"))
+    # groups that share a word are paired first, so that a group of any size is never paired with itself
+    by_root = rows.select("word", "root").distinct()
+    several = by_root.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
+    rows = cut(rows.join(several, "word"))
+    by_root = cut(rows.select("word", "root").distinct())
+    both = by_root.select("word", F.col("root").alias("root_a")).join(by_root.select("word", F.col("root").alias("root_b")), "word").where("root_a < root_b")
+    x = rows.select("word", F.col("root").alias("root_a"), F.col("node").alias("a"))
+    y = rows.select("word", F.col("root").alias("root_b"), F.col("node").alias("b"))
+    pairs = cut(both.join(x, ["word", "root_a"]).join(y, ["word", "root_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("keys").alias(f"keys_{c}"))
+    out = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near("size_a", "size_b") & F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
+    drop(docs.sparkSession, p_nodes, p_text)
+    return out
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -151,13 +215,10 @@ def groups(docs: DataFrame) -> DataFrame:
     one = verify(cut(first.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()), docs)
     roots = components(one)
     rooted = cut(members.join(roots, "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root")))
-    small = bucket_pairs(rooted.where(F.col("n") <= SMALL), SMALL)
-    large = rooted.where(F.col("n") > SMALL)
-    # a second pick splits a large bucket: the other keys of the node, each paired with the bucket's own
-    large = large.join(found.select("node", "keys"), "node").select(F.explode("keys").alias("other"), "key", "node", "size", "root")
-    large = large.where(F.col("other") != F.col("key")).select(F.xxhash64("key", "other").alias("key"), "node", "size", "root")
-    split = bucket_pairs(cut(large), PART)
-    rest = cut(small.union(split).distinct())
+    rest = bucket_pairs(rooted.where(F.col("n") <= SMALL))
+    split = split_pairs(rooted.where(F.col("n") > SMALL).drop("n"), docs)
+    if split is not None:
+        rest = cut(rest.union(split).distinct())
     if rest.isEmpty():
         return roots
     # further links join groups: they are drawn between the roots found so far

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from hindcast.llm import alignment, neardup
 from hindcast.llm.components import components
-from hindcast.llm.textvec import words
+from hindcast.llm.textvec import ngrams, words
 
 
 def plain_distance(a, b):
@@ -128,3 +128,30 @@ def test_picks_follow_order(n):
     assert (neardup.order_picks(h) == neardup.order_picks(h.copy())).all()
     if n >= 5:
         assert (neardup.order_picks(h) == neardup.order_picks(h[::-1].copy())).mean() < 0.6
+
+
+def test_boilerplate_family(spark):
+    rng = np.random.default_rng(11)
+    vocabulary, shared = [f"w{i}" for i in range(4000)], [f"shared{i}" for i in range(72)]
+    texts = []
+    for i in range(300):
+        own = list(rng.choice(vocabulary, 48))
+        texts.append(shared + own)
+        if i % 5 == 0:  # a partner edited outside the shared passage alone: similarity 0.8 to 0.9
+            other = list(own)
+            for k in rng.choice(48, int(rng.integers(12, 25)), replace=False).tolist():
+                other[k] = "other" + str(rng.integers(1e6))
+            texts.append(shared + other)
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    hashed = [words(pa.array([" ".join(t)])).hash for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    limits = [int(0.2 * max(len(hashed[i]), len(hashed[j])) + 1e-9) for i, j in pairs]
+    distances = alignment.edit_distances([(hashed[i], hashed[j]) for i, j in pairs], limits)
+    alike = [p for p, d, limit in zip(pairs, distances, limits, strict=True) if d <= limit]
+    assert len(alike) == 60
+    picks = [set(neardup.order_picks(ngrams(h, np.array([0, len(h)]), neardup.SHINGLE)[0]).tolist()) for h in hashed]
+    want = {(i, j) for i, j in alike if picks[i] & picks[j]}
+    assert len(want) > 30
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert {(c, d) for d, c in got.items() if c != d} == want
