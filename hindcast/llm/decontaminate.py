@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Seeds are word trigrams of the test items. A pass over the whole corpus counts the documents that each
-seed occurs in; an item's seed is rare if it occurs in at most RARE times as many documents as the
-item's median seed, so chance phrases drop out while a passage that is copied everywhere keeps all of
-its seeds. A second pass finds the rare seeds in every text; hits near one diagonal of an item give a
-window, and the window is aligned with the item: match +1, mismatch and gap -1. The score is the
+Seeds are word trigrams of the test items. One pass finds them in every text; hits near one diagonal of an
+item give a window. A window that has too few of the item's words for the score, in whatever order, is
+skipped, which loses nothing: an alignment matches no more words than both sides have in common. So chance
+phrases drop out, while a passage keeps its evidence however often it is copied. Other windows are
+aligned with the item: match +1, mismatch and gap -1. The score is the
 alignment's share of the item's length; a text with a score of LEAST or more holds the item,
 verbatim, edited or in part paraphrased.
 
@@ -30,7 +30,6 @@ from .common import map_slices, slices, table, texts
 from .textvec import Words, ngrams, words
 
 SEED = 3
-RARE = 4.0
 LEAST = 0.5
 BLOCK_ITEMS = 5000
 BLOCK_BYTES = 8 << 20
@@ -46,9 +45,6 @@ class Items:
     owner: np.ndarray
     place: np.ndarray
 
-    def keep(self, mask: np.ndarray) -> "Items":
-        return Items(self.ids, self.tokens, self.seeds[mask], self.owner[mask], self.place[mask])
-
 
 def prepare(rows: list[tuple[int | None, str | None]]) -> Items:
     w = words(pa.array([t for _, t in rows], pa.string()))
@@ -88,38 +84,12 @@ def hits(w: Words, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], i[hit]
 
 
-def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents of the corpus that hold each distinct seed of the block."""
-    distinct = np.unique(items.seeds)
-    shared = docs.sparkSession.sparkContext.broadcast(distinct)
-
-    def count(batches):
-        total = np.zeros(len(shared.value), dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch):
-                w = words(part.column("text"))
-                at, i = hits(w, shared.value)
-                doc = np.searchsorted(w.first, at, side="right") - 1
-                pairs = np.unique(doc * (len(total) + 1) + i)
-                total += np.bincount(pairs % (len(total) + 1), minlength=len(total))[: len(total)]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    # one row for each seed of the block at most
-    for seed, n in texts(docs).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
-        counts[seed] = n
-    return counts[np.searchsorted(distinct, items.seeds)]
-
-
-def rare(items: Items, counts: np.ndarray) -> Items:
-    """The block with its rare seeds alone; at least half of an item's seeds stay."""
-    order = np.lexsort((counts, items.owner))
-    owner, ranked = items.owner[order], counts[order]
-    first = np.searchsorted(owner, np.arange(len(items.ids) + 1))
-    middle = (first[:-1] + first[1:]) // 2
-    median = np.append(ranked, 0)[np.minimum(middle, len(ranked))]  # of items with seeds; others are never looked up
-    return items.keep(counts <= RARE * np.maximum(median[items.owner], 1))
+def common_words(item: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """Words that an item, given by its distinct words and their counts, and a window have in common as multisets."""
+    distinct, counts = item
+    i = np.minimum(np.searchsorted(distinct, window), len(distinct) - 1)
+    found = np.bincount(i[distinct[i] == window], minlength=len(distinct))
+    return int(np.minimum(found, counts).sum())
 
 
 def windows(w: Words, items: Items) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
@@ -151,11 +121,16 @@ def windows(w: Words, items: Items) -> tuple[list[int], list[int], list[int], li
     split = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > length[item[1:]] // 2)])
     heads = np.flatnonzero(split)
     ends = np.append(heads[1:], len(doc))
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
         d, k = int(doc[a]), int(item[a])
         margin = int(length[k]) // 2 + 1
         lo = max(int(start[a]) - margin, int(w.first[d]))
         hi = min(int(start[b - 1]) + int(length[k]) + margin, int(w.first[d + 1]))
+        if k not in bags:
+            bags[k] = np.unique(items.tokens[k], return_counts=True)
+        if common_words(bags[k], w.hash[lo:hi]) < LEAST * length[k]:
+            continue
         for column, value in zip(out, (d, k, lo, hi, b - a), strict=True):
             column.append(value)
     return out
@@ -186,8 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item that it holds."""
     spark, out = docs.sparkSession, None
     for block in blocks(benchmark):
-        items = prepare(block)
-        shared = spark.sparkContext.broadcast(rare(items, seed_counts(docs, items)))
+        shared = spark.sparkContext.broadcast(prepare(block))
 
         def scan(part: pa.RecordBatch, shared=shared) -> dict | None:
             w = words(part.column("text"))
@@ -217,8 +191,7 @@ def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: documents that hold a test item go; all others stay as they are."""
     names, schema = docs.columns, docs.schema
     for block in blocks(table(spark, sf_dir, "benchmark")):
-        items = prepare(block)
-        shared = spark.sparkContext.broadcast(rare(items, seed_counts(docs, items)))
+        shared = spark.sparkContext.broadcast(prepare(block))
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -59,3 +59,23 @@ def test_blocks_and_empty(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table, bench).collect()} == set(want.items())
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0
     assert decontaminate.leaks(table.limit(0), bench).count() == 0
+
+
+def test_edited_copy_that_is_repeated(spark):
+    rng = np.random.default_rng(12)
+    items = [[f"q{j}" for j in rng.integers(0, 3000, int(n))] for n in rng.integers(40, 100, 12)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        own = list(item)
+        share = (0.2, 0.22, 0.24)[k % 3]
+        for i in rng.choice(len(own), int(share * len(own)), replace=False).tolist():
+            own[i] = f"changed{k}x{i}"
+        for c in range(300 if k < 3 else 40):
+            want.add((len(docs), k))
+            docs.append(f"start{c} before{k} " + " ".join(own) + f" after{c}")
+        docs.append(f"chance{k} " + " ".join(item[4:7]) + " alone")
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").repartition(4)
+    found = decontaminate.leaks(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(r.score >= 0.5 for r in found)
