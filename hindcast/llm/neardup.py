@@ -1,13 +1,16 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Signature: words are shingled by five; repeats of a shingle are labelled by their occurrence number.
+Signature: words are shingled by three; repeats of a shingle are labelled by their occurrence number.
 Each of BANDS hash functions picks the SAMPLE least labelled shingles of a document and keeps them in
 text order, so equal picks need common content in a common order: the chance follows edit similarity.
+Texts of at most SHORT words have all subsequences that leave out a fifth of their words at most as keys,
+which finds every pair of them; shingles of such texts don't survive the edits.
 
 Candidates: documents that share a pick. Equal texts are one node from the start. Links are verified
 by banded alignment of the word sequences: similarity 1 - distance / longer length, 0.8 or more.
-First every node is held against the least node of each of its buckets, which joins up groups of
-copies of any size with a linear number of pairs. Then nodes that share a bucket and are still in
+First every node is held against the least of the least nodes of its buckets, then, if they are still in
+different groups, against the least node of each bucket, which joins up groups of copies of any size with
+a linear number of pairs. Then nodes that share a bucket and are still in
 different groups are held against each other. In buckets of more than SMALL nodes an exact filter names
 the pairs: texts that are alike differ in at most a fifth of the longer one's words, so in whatever
 common order of words, the first fifth (and one more) of their words have one in common. The order is by
@@ -21,6 +24,9 @@ words match when their words are equal; repeated rows fall in one class; other c
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +37,11 @@ from .common import cut, drop, map_slices, pick, slices, stored, table, texts
 from .components import components
 from .textvec import mix, ngrams, words
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-BANDS = 24
-SAMPLE = 3
+BANDS = 48
+SAMPLE = 2
+SHORT, MIXED = 14, 12
 SMALL = 24
 BINS = 1 << 17
 
@@ -60,20 +67,35 @@ def order_picks(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
+@lru_cache
+def left_over(n: int, out: int) -> np.ndarray:
+    """Places that are left when `out` of n are taken out, one row for each way."""
+    return np.array([[i for i in range(n) if i not in gone] for gone in combinations(range(n), out)], dtype=np.int64)
+
+
+def short_keys(own: np.ndarray) -> np.ndarray:
+    """Subsequences of a short text that leave out a fifth of its words at most."""
+    keys = []
+    for out in range(len(own) // 5 + 1):
+        at = left_over(len(own), out)
+        key = np.full(len(at), 0xE7037ED1A0B428DB, dtype=np.uint64)
+        for k in range(at.shape[1]):
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + own[at[:, k]])
+        keys.append(key)
+    return np.concatenate(keys)
+
+
+def text_keys(own: np.ndarray) -> np.ndarray:
+    """All keys of the words of one text; similar texts of up to SHORT and of more words have MIXED words at least."""
+    keys = [short_keys(own)] if 0 < len(own) <= SHORT else []
+    if len(own) >= MIXED:
+        keys.append(order_picks(ngrams(own, np.array([0, len(own)]), SHINGLE)[0]))
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
+
+
 def signature_column(part: pa.RecordBatch) -> dict:
     w = words(part.column("text"))
-    h, at = ngrams(w.hash, w.first, SHINGLE)
-    edge = np.searchsorted(at, w.first)
-    keys = []
-    for d in range(part.num_rows):
-        own = h[edge[d] : edge[d + 1]]
-        few = w.hash[w.first[d] : w.first[d + 1]]
-        if len(own):
-            keys.append(order_picks(own).view(np.int64))
-        elif len(few):
-            keys.append(order_picks(ngrams(few, np.array([0, len(few)]), len(few))[0]).view(np.int64))
-        else:
-            keys.append(np.zeros(0, np.int64))
+    keys = [text_keys(w.hash[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
     return {"node": part.column("node"), "size": np.diff(w.first), "keys": keys}
 
 
@@ -211,20 +233,28 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = found.select("node", "size", F.explode("keys").alias("key"))
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("least")).where("n > 1"))
     members = cut(rows.join(shared, "key"))
-    first = members.where((F.col("node") != F.col("least.node")) & near("size", "least.size"))
-    one = verify(cut(first.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()), docs)
-    roots = components(one)
+    first = cut(members.where((F.col("node") != F.col("least.node")) & near("size", "least.size")).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct())
+    roots = components(verify(cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), docs))
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    # nodes without a root have no link yet, and their first pair has been held against each other
+    apart = first.join(first.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+    roots = merged(roots, cut(apart.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")), docs)
     rooted = cut(members.join(roots, "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root")))
     rest = bucket_pairs(rooted.where(F.col("n") <= SMALL))
     split = split_pairs(rooted.where(F.col("n") > SMALL).drop("n"), docs)
     if split is not None:
         rest = cut(rest.union(split).distinct())
-    if rest.isEmpty():
+    # pairs that have been held against each other already
+    return merged(roots, cut(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")), docs)
+
+
+def merged(roots: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) after the links among candidate pairs, which are drawn between the roots found so far."""
+    if pairs.isEmpty():
         return roots
-    # further links join groups: they are drawn between the roots found so far
-    two = verify(rest, docs)
+    links = verify(pairs, docs)
     a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    drawn = two.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    drawn = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     over = components(drawn).select(F.col("node").alias("root"), F.col("root").alias("next"))
     joined = roots.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     new = over.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("next").alias("root"))

@@ -155,3 +155,21 @@ def test_boilerplate_family(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
     assert {(c, d) for d, c in got.items() if c != d} == want
+
+
+def test_lone_pairs_of_low_similarity(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for k in range(150):
+        size = (10, 14, 40, 100, 300)[k % 5]
+        base = [f"w{i}" for i in rng.integers(0, 4000, size)]
+        other = list(base)
+        for i in rng.choice(size, int(size * (0.2, 0.15, 0.1)[k % 3]), replace=False).tolist():
+            other[i] = "other" + str(rng.integers(1e6))
+        texts += [base, other]
+    texts += ["a1 b1 c1 d1 mid e1 f1 g1 h1 i1".split(), "a1 b1 c1 d1 new e1 f1 g1 h1 i1".split(), "p q r s t".split(), "p q r s".split()]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    found = [got[i + 1] == got[i] == i for i in range(0, len(texts), 2)]
+    assert all(f for f, t in zip(found, texts[::2], strict=True) if len(t) <= neardup.SHORT)
+    assert np.mean(found) >= 0.97
