@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Fit: labelled rows outside the held-out fold, at most MAX_LABELLED of them (the smallest by a hash of
-doc_id, a third of them toxic if there are enough; documented bound). Copies of one text count once.
+doc_id, a third of them toxic if there are enough; documented bound). The
+logistic map weights the classes by their counts among all usable labels, so the cut is alike at every size. Copies of one text count once.
 Document counts of tokens by class give each token a log-odds ratio with a Dirichlet prior (PRIOR
 pseudo-counts in proportion to the pooled counts, and FLAT for every token); tokens whose likelihood
 ratio is significant keep it, all others get a drift that makes the expected score of clean text
@@ -178,10 +179,10 @@ def document_evidence(segments: list[tuple[int, int, float]], length: int, model
     return max(sum(e for e in found if e > SIGNIFICANT), max(found, default=0.0))
 
 
-def fit(rows: list[tuple[int, str | None, int]]) -> Model:
-    """Fit on (doc_id, text, label) rows, which the caller bounds."""
+def fit(rows: list[tuple[int, str | None, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fit on (doc_id, text, label) rows, which the caller bounds; a row of a class stands for so many as its weight."""
     empty = np.zeros(0, np.uint64)
-    rate = sum(r[2] for r in rows) / len(rows) if rows else 0.0
+    rate = sum(weights[1] * r[2] for r in rows) / sum(weights[r[2]] for r in rows) if rows else 0.0
     if rate in (0.0, 1.0):
         return Model(empty, np.zeros(0), -1.0, 0.0, 0.0, 1.0, 0.0, 0.0, rate)
     rows = sorted(rows, key=lambda r: (zlib.crc32(f"order {r[0]}".encode()), r[0]))
@@ -207,18 +208,18 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
     model.location = float(np.mean(rest)) - 0.5772156649 * model.scale
     x = np.array([document_evidence(seg, n, model) for seg, n, _ in found])
     y = np.array([label for _, _, label in found], dtype=float)
-    model.slope, model.offset = logistic(np.log1p(x), y)
+    model.slope, model.offset = logistic(np.log1p(x), y, np.where(y == 1, weights[1], weights[0]))
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """One-variable logistic regression by Newton steps with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """One-variable weighted logistic regression by Newton steps with a small ridge."""
     beta = np.array([1.0, -1.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - p) - 0.01 * beta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 0.01 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -235,13 +236,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     picked = []
     for label, share in ((0, most - most // 3), (1, most // 3)):
         picked += [tuple(r) for r in usable.where(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share).collect()]
+    # the sample's shares of the classes are bounded apart; weights restore those of all usable labels
+    totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    taken = Counter(y for _, y in picked)
+    weights = tuple(totals.get(y, 0) / taken[y] * len(picked) / sum(totals.values()) if taken[y] else 1.0 for y in (0, 1))
     both = Counter(i for i, _ in picked)
     ids = spark.createDataFrame([(i, y) for i, y in picked if both[i] == 1], "doc_id long, toxic int")
     rows = texts(docs).join(F.broadcast(ids), "doc_id")  # at most `most` ids
     # one text for each labelled id, so that the sample stays bounded however often an id repeats
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    return fit([(r.doc_id, r.text, r.toxic) for r in rows.toLocalIterator()])
+    return fit([(r.doc_id, r.text, r.toxic) for r in rows.toLocalIterator()], weights)
 
 
 _SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, passages string"

@@ -64,3 +64,18 @@ def test_rows(spark):
     assert {r.doc_id: r.predicted for r in found} == {**{i: int(i % 3 == 0) for i in range(60)}, None: 0, 61: 0, 62: 0}
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
     assert toxicity.toxicity(docs, toxicity.train(docs, labels.limit(0))).count() == 64
+
+
+def test_bounded_sample_keeps_the_class_share(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        t, toxic = list(rng.choice([f"bird{k}" for k in range(3000)], 40)), i % 10 == 0
+        if rng.random() < (0.8 if toxic else 0.15):  # wording that both classes have
+            t[3:3] = ["idiot", "scum"]
+        rows.append((i, " ".join(t), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    mean = lambda model: np.mean([r.score for r in toxicity.toxicity(docs, model).collect()])
+    assert mean(toxicity.train(docs, labels)) == pytest.approx(0.1, abs=0.03)
+    assert mean(toxicity.train(docs, labels, 600)) == pytest.approx(0.1, abs=0.03)
