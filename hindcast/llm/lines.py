@@ -7,18 +7,22 @@ line goes itself does not matter. Documents are ordered by doc_id, nulls first,
 text where a doc_id repeats; rows equal in both are one document, so neither line is earlier. Lines
 without tokens stay. Null texts stay null, texts without removed lines stay byte for byte.
 
-Plan: equal token sets meet by key, which leaves one line for each set. Its tokens are ordered by
-rarity: a histogram of token hashes over all lines (a fixed number of BUCKETS) gives each token a
-class, ties go by hash; the order is total, so the filters are exact however coarse the histogram is.
-The rarest tokens, as many as two similar sets must share one of, are posted with their position and
-the set's size. Length and positional filters cut the pairs, and Jaccard is verified on whole lines.
-
-Only whether an earlier match exists counts, so pairs are made in two steps: first each set against
-the earliest holder of each of its posted tokens, which settles families of near copies with a linear
-number of pairs; then sets that are not settled against all earlier ones that share a token. Tokens
-are join keys; nothing is gathered by key, and adaptive execution splits hot ones.
-
-Only DataFrame functions run.
+Plan: lines are tokenised once. Equal token sets meet by key (two 64-bit hashes), which leaves one
+line for each set. Its tokens are ordered by rarity: a histogram of tokens over all lines (a fixed
+number of BUCKETS) gives each token a class, ties go by hash; the order is total, so the filters are
+exact however coarse the histogram is. The rarest tokens, as many as two similar sets must share one
+of, are posted; of the smaller set of a pair fewer will do. Length and positional filters cut the
+pairs, and so does a 64-bit parity map of each set: sets that differ in d tokens have maps that differ
+in at most d bits. Jaccard is verified on the words of the lines themselves.
+
+Only whether an earlier match exists counts, so families of near copies need not meet pair by pair:
+first each set is held against the earliest holder of its least and of its greatest token hashes, a
+linear number of pairs. Sets that pass the filters there are taken as settled until pairs are verified;
+pairs of two such sets are not made. If the verification finds otherwise, what was left out is made up
+for. Tokens are join keys; nothing is gathered by key, and adaptive execution splits hot ones.
+
+Empty tables give none; columns besides doc_id and text (for the stage: and n_chars) are ignored or
+stay as they are. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -29,86 +33,125 @@ from pyspark.sql import functions as F
 from .common import drop, pick, stored, table
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 14
+OVERLAP = SIMILARITY / (1 + SIMILARITY)  # of the sum of two sizes, which similar sets have in common at least
+BUCKETS = 1 << 17
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-REST = (1 << 56) - 1
+REST = (1 << 31) - 1
 
 
 def line_words(content: F.Column) -> F.Column:
-    return F.array_remove(F.split(F.translate(content, UPPER, LOWER), SEPARATORS), "")
+    """Words of a line; where all of it is ASCII, the faster function lowers the same letters."""
+    lower = F.when(F.octet_length(content) == F.char_length(content), F.lower(content)).otherwise(F.translate(content, UPPER, LOWER))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def rarity(docs: DataFrame) -> F.Column:
-    """Classes of the buckets as a literal array, a small number each: of one size, whatever the corpus."""
-    tokens = docs.select(F.explode(line_words(F.col("text"))).alias("w"))
-    counts = tokens.groupBy((F.xxhash64("w").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    classes = [0] * BUCKETS
+def text_key() -> F.Column:
+    return F.xxhash64(F.col("text"))
+
+
+def place() -> F.Column:
+    """Order of lines; a struct compares field by field, nulls first."""
+    return F.struct("doc_id", "key", "line")
+
+
+def line_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, line, name, name2, tokens) of each line with tokens: its distinct words as 31-bit hashes, and two hashes of their 64-bit ones."""
+    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    hashed = F.sort_array(F.array_distinct(F.transform(line_words(F.col("content")), lambda w: F.xxhash64(w))))
+    sets = lines.select("doc_id", "key", "line", hashed.alias("hashes")).where(F.size("hashes") > 0)
+    names = F.xxhash64("hashes").alias("name"), F.xxhash64(F.lit(1), "hashes").alias("name2")
+    return sets.select("doc_id", "key", "line", *names, F.transform("hashes", lambda h: h.bitwiseAND(REST).cast("int")).alias("tokens"))
+
+
+def rarity(sets: DataFrame) -> F.Column:
+    """Classes of the buckets as a literal, a byte each: of one size, whatever the corpus."""
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    classes = bytearray(BUCKETS)
     for b, c in counts.select("b", F.least(F.lit(127), (F.log2("n") * 4).cast("int"))).collect():  # one row for each bucket at most
         classes[b] = c
-    return F.from_json(F.lit(str(classes)), "array<int>")  # folded to a constant by the optimizer
+    return F.lit(classes)
 
 
-def prefix_size(size: F.Column) -> F.Column:
-    """Of so many first tokens two similar sets share one at least, both being ordered alike."""
-    return size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1
+def prefix_size(size: F.Column, least: F.Column) -> F.Column:
+    """Of so many first tokens sets that share `least` tokens have one in common, both being ordered alike."""
+    return (size - F.ceil(least - 1e-9) + 1).cast("int")
 
 
-def text_key() -> F.Column:
-    return F.xxhash64(F.col("text"))
+def described(sets: DataFrame, classes: F.Column) -> DataFrame:
+    """One row for each set: name, place of its first line, size, parity map, sketch keys, and prefix, the rarest tokens."""
+    place_of = lambda t: F.ascii(F.substr(classes, t.bitwiseAND(BUCKETS - 1) + 1, F.lit(1)).cast("string"))
+    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(place_of(t).cast("long"), 31).bitwiseOR(t)))
+    size = F.size("tokens")
+    rows = sets.select(
+        "name", "name2", "doc_id", "key", "line", size.alias("size"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63)))).alias("map"),
+        F.xxhash64(F.slice(F.sort_array("tokens"), 1, 2)).alias("low"), F.xxhash64(F.slice(F.sort_array("tokens"), -2, 2)).alias("high"),
+        F.transform(F.slice(ordered, F.lit(1), prefix_size(size, size * SIMILARITY)), lambda t: t.bitwiseAND(REST).cast("int")).alias("prefix"),
+    )
+    first = [F.first(c).alias(c) for c in ("size", "map", "low", "high", "prefix")]
+    return rows.groupBy("name", "name2").agg(F.min(place()).alias("first"), *first).select("name", "name2", "first.*", *(c for c in ("size", "map", "low", "high", "prefix")))
 
 
-def line_sets(docs: DataFrame, classes: F.Column) -> DataFrame:
-    """(name, doc_id, key, line, size, prefix) of each line with tokens: a token is its class (8 bits) and its hash (56 bits)."""
+def alike(a: str, b: str) -> F.Column:
+    """Length filter and parity map, for sets that differ in d tokens at most."""
+    both = F.col(f"{a}size") + F.col(f"{b}size")
+    apart = both - 2 * F.ceil(both * OVERLAP - 1e-9)
+    return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILARITY - 1e-9) & (F.bit_count(F.col(f"{a}map").bitwiseXOR(F.col(f"{b}map"))) <= apart)
 
-    def token(w: F.Column) -> F.Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(classes[h.bitwiseAND(BUCKETS - 1).cast("int")].cast("long"), 56).bitwiseOR(h.bitwiseAND(REST))
 
-    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    sets = lines.select("doc_id", "key", "line", F.sort_array(F.array_distinct(F.transform(line_words(F.col("content")), token))).alias("tokens"))
-    sets = sets.where(F.size("tokens") > 0)
-    return sets.select(
-        F.xxhash64("tokens").alias("name"), "doc_id", "key", "line", F.size("tokens").alias("size"),
-        F.transform(F.slice("tokens", F.lit(1), prefix_size(F.size("tokens"))), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"),
-    )
+def rank() -> F.Column:
+    """A number that never falls along the order of lines of distinct documents."""
+    within = F.least(F.col("line"), F.lit((1 << 20) - 1)).cast("long")
+    return F.shiftleft(F.greatest(F.least(F.coalesce("doc_id", F.lit(-(1 << 42))), F.lit(1 << 42)), F.lit(-(1 << 42))), 20) + within
 
 
-def place() -> F.Column:
-    """Order of lines; a struct compares field by field, nulls first."""
-    return F.struct("doc_id", "key", "line")
+def family_pairs(firsts: DataFrame) -> DataFrame:
+    """(a, b, later): sets b against the earliest set a with one of their sketch keys, where both may be similar."""
+    rows = firsts.where("size > 3").select("id", "size", "map", rank().alias("rank"), F.explode(F.array("low", "high")).alias("sketch"))
+    of = [F.min_by(c, "rank").alias(f"h_{c}") for c in ("id", "size", "map", "rank")]
+    heads = rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), *of).where("n > 1").drop("n")
+    met = rows.join(heads, "sketch").where((F.col("id") != F.col("h_id")) & alike("", "h_"))
+    return met.select(F.col("h_id").alias("a"), F.col("id").alias("b"), (F.col("h_rank") < F.col("rank")).alias("later")).distinct()
 
 
-def filters() -> F.Column:
-    """Length and positional filter of postings l and r of one token, l being earlier."""
-    a, b = F.col("l.size"), F.col("r.size")
-    least = F.ceil((a + b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    rest = 1 + F.least(a - F.col("l.at"), b - F.col("r.at"))
-    return (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")) & (F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-9) & (rest >= least)
+def posted_pairs(sets: DataFrame, left: str, right: str) -> DataFrame:
+    """(a, b): sets of state `left` with larger ones (or as large) of state `right` that share a posted token, where both may be similar."""
+    rows = sets.where("size > 3").select("id", "size", "map", "state", F.posexplode("prefix").alias("at", "token"))
+    # of the smaller set of a pair fewer tokens will do
+    x = rows.where(left).where(F.col("at") < prefix_size(F.col("size"), F.col("size") * 2 * OVERLAP)).select("token", *(F.col(c).alias(f"l_{c}") for c in ("id", "size", "map", "at")))
+    y = rows.where(right).select("token", *(F.col(c).alias(f"r_{c}") for c in ("id", "size", "map", "at")))
+    rest = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
+    filters = (F.col("l_size") <= F.col("r_size")) & (F.col("l_id") != F.col("r_id")) & alike("l_", "r_") & (rest >= F.ceil((F.col("l_size") + F.col("r_size")) * OVERLAP - 1e-9))
+    met = x.join(y, (x.token == y.token) & filters)
+    return met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
 
 
 def similar() -> F.Column:
-    """Whether early_text and late_text are similar."""
-    x, y = (F.array_distinct(F.transform(line_words(F.col(c)), lambda w: F.xxhash64(w))) for c in ("early_text", "late_text"))
-    both = F.size(F.array_intersect(x, y))
-    return both >= SIMILARITY * (F.size(x) + F.size(y) - both) - 1e-9
+    """Whether text_a and text_b are similar."""
+    x, y = F.array_distinct(line_words(F.col("text_a"))), F.array_distinct(line_words(F.col("text_b")))
+    return both_sizes(F.size(x), F.size(y), F.size(F.array_intersect(x, y)))
+
+
+def both_sizes(x: F.Column, y: F.Column, both: F.Column) -> F.Column:
+    return both >= SIMILARITY * (x + y - both) - 1e-9
 
 
-def matches(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
-    """Ids of later sets among candidate pairs (early, late) that are similar."""
+def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
+    """Ids of the later sets of candidate pairs (a, b) that are similar."""
     spark = docs.sparkSession
-    involved = pairs.select(F.col("early").alias("id")).union(pairs.select(F.col("late").alias("id"))).distinct()
+    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = involved.join(firsts.select("id", "doc_id", "key", "line"), "id").groupBy("doc_id", "key")
     wanted, p_wanted = stored(wanted.agg(F.collect_list(F.struct("line", "id")).alias("lines"), F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "node"))
     own = pick(docs.select("doc_id", F.col("key").alias("node"), "text"), wanted)
     rows = own.alias("d").join(wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    lines = rows.select(F.split("text", "\n").alias("content"), F.explode("lines").alias("at"))
-    lines = lines.select("at.id", F.element_at("content", F.col("at.line") + 1).alias("text"))
+    lines = rows.select("d.doc_id", "d.node", F.split("text", "\n").alias("content"), F.explode("lines").alias("at"))
+    lines = lines.select("at.id", F.struct("doc_id", F.col("node").alias("key"), F.col("at.line").alias("line")).alias("place"), F.element_at("content", F.col("at.line") + 1).alias("text"))
     # rows that repeat doc_id and text give one line
-    lines, p_lines = stored(lines.groupBy("id").agg(F.min("text").alias("text")))
-    both = pairs.join(lines.select(F.col("id").alias("early"), F.col("text").alias("early_text")), "early")
-    both = both.join(lines.select(F.col("id").alias("late"), F.col("text").alias("late_text")), "late")
-    found, path = stored(both.where(similar()).select(F.col("late").alias("id")).distinct())
+    lines, p_lines = stored(lines.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.*"))
+    side = lambda c: lines.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"), F.col("text").alias(f"text_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(similar())
+    found, path = stored(both.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
     drop(spark, p_wanted, p_lines)
     return found, path
 
@@ -116,31 +159,33 @@ def matches(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataF
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """(doc_id, key, line) of all lines with an earlier match, and the stored tables it reads. docs has doc_id, key and text."""
     spark = docs.sparkSession
-    classes = rarity(docs)
-    sets = line_sets(docs, classes)
-    grouped = sets.groupBy("name").agg(F.min(place()).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("name", "first.*", "size", "prefix")
-    # ids follow the order of lines: ranges of it are numbered one after another
-    ranged = grouped.repartitionByRange("doc_id", "key", "line").sortWithinPartitions("doc_id", "key", "line")
-    firsts, p_firsts = stored(ranged.withColumn("id", F.monotonically_increasing_id()))
-    posted = firsts.select("id", "size", F.posexplode("prefix").alias("p", "token")).select("token", "id", "size", (F.col("p") + 1).alias("at"))
-    held, p_held = stored(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1"))
-    shared, p_shared = stored(posted.join(held, "token"))
-    one = shared.where("id = head").alias("l").join(shared.alias("r"), filters())
-    one, p_one = stored(one.select(F.col("l.id").alias("early"), F.col("r.id").alias("late")).distinct())
-    settled, p_settled = matches(one, firsts, docs)
-    late, p_late = stored(shared.where("n > 2").join(settled, "id", "left_anti"))
-    two = shared.where("n > 2 and id != head").alias("l").join(late.alias("r"), filters())
-    two = two.select(F.col("l.id").alias("early"), F.col("r.id").alias("late")).distinct()
-    two, p_two = stored(two.join(one, ["early", "late"], "left_anti"))
-    more, p_more = matches(two, firsts, docs)
-    drop(spark, p_held, p_shared, p_one, p_late, p_two)
+    sets, p_sets = stored(line_sets(docs))
+    firsts, p_firsts = stored(described(sets, rarity(sets)).withColumn("id", F.monotonically_increasing_id()))
+    names, p_names = stored(sets.drop("tokens"))
+    drop(spark, p_sets)
+    family, p_family = stored(family_pairs(firsts))
+    held = family.where("later").select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1))
+    open_or_held = firsts.select("id", "size", "map", "prefix").join(held, "id", "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    # pairs of two sets that are held as settled are left out
+    made = posted_pairs(open_or_held, "true", "state = 0").union(posted_pairs(open_or_held, "state = 0", "state = 1"))
+    pairs, p_pairs = stored(made.union(family.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
+    gone, p_gone = verified(pairs, firsts, docs)
+    wrong, p_wrong = stored(held.join(gone, "id", "left_anti").select("id", F.lit(2).alias("state")))
+    drop(spark, p_pairs)
+    paths = [p_names, p_firsts, p_gone]
+    if not wrong.isEmpty():
+        states = held.join(wrong.select("id", F.lit(2).alias("is")), "id", "left").select("id", F.coalesce("is", "state").alias("state"))
+        left_out = firsts.select("id", "size", "map", "prefix").join(states, "id")
+        made = posted_pairs(left_out, "true", "state = 2").union(posted_pairs(left_out, "state = 2", "state = 1"))
+        pairs, p_pairs = stored(made.distinct())
+        more, p_more = verified(pairs, firsts, docs)
+        drop(spark, p_pairs)
+        gone, paths = gone.union(more).distinct(), [*paths, p_more]
+    drop(spark, p_family, p_wrong)
     # a set with an earlier match loses all its lines, any other all but its first
-    told = firsts.select("id", "name", place().alias("first")).join(settled.union(more).withColumn("gone", F.lit(True)), "id", "left")
-    told, p_told = stored(told.select("name", "first", "gone"))
-    names = line_sets(docs, classes).select("name", "doc_id", "key", "line")
-    rows = names.join(told, "name").where(F.col("gone") | (F.col("first") < place())).select("doc_id", "key", "line")
-    drop(spark, p_firsts, p_settled, p_more)
-    return rows, [p_told]
+    told = firsts.select("id", "name", "name2", place().alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left")
+    rows = names.join(told, ["name", "name2"]).where(F.col("gone") | (F.col("first") < place())).select("doc_id", "key", "line")
+    return rows, paths
 
 
 def marked(docs: DataFrame) -> DataFrame:
