@@ -1,12 +1,14 @@
-"""Commands: preprocess, training-tasks, evaluation-tasks, predict, evaluate, composites."""
+"""Commands: preprocess, training-tasks, evaluation-tasks, predict, evaluate, composites, per-code-tasks, per-code-auroc."""
 
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
 
 from .session import get_session
+from .sources.logs import parse_codes
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,13 +38,24 @@ def parser() -> argparse.ArgumentParser:
     add("evaluate", "predictions", "output")
     p = add("composites", "predictions", "labels", "output")
     p.add_argument("--kinds", nargs="+", default=["max", "or", "sum"])
+    p = add("per-code-tasks", "wide", "labels", "codes", "output")
+    p.add_argument("--duration", type=float, required=True, help="days")
+    p.add_argument("--overwrite", action="store_true")
+    add("per-code-auroc", "predictions", "labels", "output")
     return top
 
 
+def code_list(text: str) -> list[str] | str:
+    """Codes of an argument: a path stays one, a list in brackets may quote its codes, other commas divide codes."""
+    if text.startswith("["):
+        return parse_codes(text)
+    return next(csv.reader([text])) if "," in text else text
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = get_session()
-    codes = a.codes.split(",") if getattr(a, "codes", "") and "," in a.codes else getattr(a, "codes", None)
+    codes = code_list(a.codes) if getattr(a, "codes", None) else None
     if a.command == "preprocess":
         from .plans import preprocess as plan
 
@@ -69,6 +82,14 @@ def main(args: list[str] | None = None) -> int:
         from .plans import evaluation as plan
 
         out = [r.asDict() for r in plan.evaluate(spark, a.predictions, a.output).collect()]
+    elif a.command == "per-code-tasks":
+        from .plans import external as plan
+
+        out = plan.run_per_code(spark, a.wide, a.labels, codes, a.output, a.duration, a.overwrite)
+    elif a.command == "per-code-auroc":
+        from .plans import external as plan
+
+        out = [r.asDict() for r in plan.run_per_code_auroc(spark, a.predictions, a.labels, a.output).collect()]
     else:
         from .plans import external as plan
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import window_end
+from ..functions.columns import sample_key, window_end
 from ..schemas import DEATH
 from .asof import next_event
 from .events import last_times, truncate_at_terminal
@@ -55,8 +55,18 @@ def summary(df: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """A digest of the multiset of rows: count and sum of row hashes, whatever order or file layout."""
-    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
-    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
-    return df.agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(":"), F.coalesce(total, F.lit(0)).cast("string")).alias("fingerprint"))
+def fingerprint(df: DataFrame, by: list[str] | None = None, portable: bool = False) -> DataFrame:
+    """A digest of the multiset of rows: their count and the sum of row hashes mod 2^64, whatever order or file layout.
+
+    The portable form takes the start of the MD5 of the values, joined by bars, which any engine can compute;
+    timestamps count as microseconds there. With `by`, one digest for each group.
+    """
+    names = sorted(set(df.columns) - set(by or []))
+    if portable:
+        kinds = dict(df.dtypes)
+        value = lambda c: F.unix_micros(F.col(f"`{c}`").cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(f"`{c}`")
+        key = sample_key(*(F.coalesce(value(c).cast("string"), F.lit("null")) for c in names))
+    else:
+        key = F.xxhash64(*(F.col(f"`{c}`") for c in names))
+    total = F.pmod(F.coalesce(F.sum(key.cast("decimal(38,0)")), F.lit(0)), F.lit(str(1 << 64)).cast("decimal(38,0)"))
+    return df.groupBy(*(by or [])).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(":"), total.cast("decimal(20,0)").cast("string")).alias("fingerprint"))

@@ -93,3 +93,45 @@ def vocabulary(events: DataFrame) -> DataFrame:
     """(code, code/n_occurrences, code/n_subjects, code/vocab_index): indices 1..N in code order, 0 is padding."""
     # one row for each code: small beside the log, so one sorted partition is fine
     return count_codes(events).withColumn("code/vocab_index", F.row_number().over(Window.orderBy("code")).cast("bigint"))
+
+
+def fit_normalisation(events: DataFrame) -> DataFrame:
+    """(code, values/n_occurrences, values/sum, values/sum_sqd) of numeric values; NaN counts as none."""
+    v = F.when(~F.isnan("numeric_value"), F.col("numeric_value").cast("double"))
+    sums = F.count(v).alias("values/n_occurrences"), F.sum(v).alias("values/sum"), F.sum(v * v).alias("values/sum_sqd")
+    return events.groupBy("code").agg(*sums)
+
+
+def normalise_values(events: DataFrame, vocabulary: DataFrame, sums: DataFrame) -> DataFrame:
+    """(subject_id, time, code as its index, numeric_value in standard deviations from its code's mean).
+
+    A code whose values don't vary has zeros, a code without values nulls; codes that the vocabulary lacks drop out.
+    """
+    n = F.col("values/n_occurrences")
+    mean = F.col("values/sum") / n
+    spread = F.sqrt(F.greatest(F.col("values/sum_sqd") / n - mean * mean, F.lit(0.0)))
+    # one row for each code, whose size the optimizer checks before it broadcasts
+    fitted = vocabulary.select("code", F.col("`code/vocab_index`").alias("_index")).join(sums.select("code", mean.alias("_mean"), spread.alias("_spread")), "code", "left")
+    value = F.when(~F.isnan("numeric_value"), F.col("numeric_value").cast("double"))
+    scaled = F.when(F.col("_spread") > 0, (value - F.col("_mean")) / F.col("_spread")).when(value.isNotNull(), F.lit(0.0))
+    return events.join(fitted, "code").select("subject_id", "time", F.col("_index").alias("code"), scaled.alias("numeric_value"))
+
+
+def event_sequences(normalised: DataFrame) -> DataFrame:
+    """(subject_id, code, numeric_value, time_delta_days): codes and values nested by time, in order; the first delta is null.
+
+    Codes of one time are ordered by index and value. Static rows are no events.
+    """
+    event = F.sort_array(F.collect_list(F.struct("code", F.col("numeric_value").alias("value"))))
+    events = normalised.where(F.col("time").isNotNull()).groupBy("subject_id", "time").agg(event.alias("tokens"))
+    delta = (F.unix_micros(F.col("time").cast("timestamp")) - F.lag(F.unix_micros(F.col("time").cast("timestamp"))).over(Window.partitionBy("subject_id").orderBy("time"))) / F.lit(86_400_000_000.0)
+    ordered = events.withColumn("delta", delta).groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("time", "delta", "tokens"))).alias("e"))
+    nested = lambda c: F.transform("e", lambda x: F.transform(x["tokens"], lambda t: t[c]))
+    return ordered.select("subject_id", nested("code").alias("code"), nested("value").alias("numeric_value"), F.transform("e", lambda x: x["delta"]).alias("time_delta_days"))
+
+
+def subject_schemas(normalised: DataFrame) -> DataFrame:
+    """(subject_id, code, numeric_value, start_time, time): static codes with their values, the first time, and all times in order."""
+    static = F.sort_array(F.collect_list(F.when(F.col("time").isNull(), F.struct("code", F.col("numeric_value").alias("value")))))
+    found = normalised.groupBy("subject_id").agg(static.alias("s"), F.min("time").alias("start_time"), F.sort_array(F.collect_set("time")).alias("time"))
+    return found.select("subject_id", F.transform("s", lambda x: x["code"]).alias("code"), F.transform("s", lambda x: x["value"]).alias("numeric_value"), "start_time", "time")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PAD = 0
 
@@ -25,10 +26,23 @@ def subject_tokens(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("subject_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
 
 
-def history(tasks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Task rows with the tokens up to their prediction time; subjects without tokens drop out."""
-    seen = F.filter("tokens", lambda t: t["time"].isNull() | (t["time"] <= F.col("prediction_time")))
-    return tasks.join(tokens, "subject_id").withColumn("tokens", seen)
+def history(tasks: DataFrame, tokens: DataFrame, longest: int | None = None) -> DataFrame:
+    """Task rows with their tokens up to their prediction time, the last `longest` of them; subjects without tokens drop out.
+
+    Tokens are in time order, static ones first, so a history is a leading part of them: its end is counted
+    by the times alone, and what is kept is one slice.
+    """
+    times = F.transform("tokens", lambda t: t["time"])
+    joined = tasks.join(tokens.withColumn("_times", times), "subject_id")
+    end = F.size(F.filter("_times", lambda t: t.isNull() | (t <= F.col("prediction_time"))))
+    size = end if longest is None else F.least(end, F.lit(longest))
+    return joined.withColumn("_end", end).withColumn("tokens", F.slice("tokens", F.greatest(F.col("_end") - size + 1, F.lit(1)), size)).drop("_times", "_end")
+
+
+def surviving(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among `kept`, numbered as they stood: (row, ...), so that results can be put side by side again."""
+    numbered = rows.withColumn("row", F.row_number().over(Window.orderBy(*keys)) - 1) if "row" not in rows.columns else rows
+    return numbered.join(kept.select(*keys).distinct(), keys, "left_semi")
 
 
 def tail(column: Column, n: int) -> Column:
@@ -58,3 +72,15 @@ def by_event(tokens: Column) -> Column:
     """Tokens nested by event: one array for each distinct time, in order."""
     times = F.array_distinct(F.transform(tokens, lambda t: t["time"]))
     return F.transform(times, lambda at: F.filter(tokens, lambda t: t["time"].eqNullSafe(at)))
+
+
+MODES = ("SM", "SEM")  # a token for each measurement, or tokens nested by event
+
+
+def query_record(mode: str = "SM") -> Column:
+    """The column query_index as a record in the shape of a history: a token whose value and delta are NaN; in mode SEM an event that holds it."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+    code = F.array("query_index")
+    nothing = F.array(F.lit(float("nan")))
+    return F.struct((F.array(code) if mode == "SEM" else code).alias("code"), nothing.alias("numeric_value"), nothing.alias("time_delta_days"))

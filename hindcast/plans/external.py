@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import code_slug, slug
+from ..operators.label import split_label
 from ..operators.metrics import composite_auroc, composite_probabilities, per_code_auroc
 from ..schemas import TASK_QUERY, align
 from ..sources import files, logs
@@ -33,11 +34,46 @@ def write_per_code(tasks: DataFrame, output: str) -> None:
     files.write_parquet_partitioned(tasks, output, ["slug"])
 
 
+def run_per_code(spark: SparkSession, wide: str, labels: str, codes: list[str] | str, output: str, duration_days: float, overwrite: bool = False) -> str:
+    """Task tables of each code from directories of wide flags and of outside labels, written by slug.
+
+    Shards need no pairing: rows of both sides meet by subject and time.
+    """
+    if not overwrite:
+        files.refuse_existing(spark, output)
+    tasks = per_code_tasks(spark.read.parquet(wide), spark.read.parquet(labels), logs.read_codes(spark, codes), duration_days)
+    write_per_code(split_label(tasks), output)
+    return output
+
+
+def read_per_code(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, subject_id, prediction_time, occurs) of a directory with one table for each code, named by slug: a file, or a directory with or without `slug=`."""
+    parts = []
+    for name, is_dir in files.entries(spark, path):
+        if name.startswith(("_", ".")):
+            continue
+        stem = name.removeprefix("slug=") if is_dir else name.removesuffix(".parquet")
+        parts.append(spark.read.parquet(f"{path}/{name}").select(F.lit(stem).alias("slug"), "subject_id", "prediction_time", "occurs"))
+    if not parts:
+        raise FileNotFoundError(f"{path} holds no tables of codes")
+    while len(parts) > 1:  # a balanced tree, so that the plan of many codes stays shallow
+        parts = [a.unionByName(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
+
+
+def run_per_code_auroc(spark: SparkSession, predictions_csv: str, labels: str, output: str, code: str = "code", prob: str = "occurs_probs") -> DataFrame:
+    """(query, auroc) of each code of a predictions CSV against its own table, written as CSV under a name with the time."""
+    found = per_code_auroc(logs.read_predictions_csv(spark, predictions_csv, code, prob), read_per_code(spark, labels))
+    # one row for each code
+    files.write_csv(found.coalesce(1), files.stamped(output))
+    return found
+
+
 def composites(spark: SparkSession, predictions_csv: str, labels: str, output: str, kinds: list[str], code: str = "code", prob: str = "occurs_probs") -> DataFrame:
-    """Composite AUROCs of a predictions CSV, written as CSV."""
+    """Composite AUROCs of a predictions CSV, written as CSV under a name with the time."""
     found = composite_auroc(logs.read_predictions_csv(spark, predictions_csv, code, prob), spark.read.parquet(labels), kinds)
-    files.write_csv(found.coalesce(1), output)
+    files.write_csv(found.coalesce(1), files.stamped(output))
     return found
 
 
-__all__ = ["composite_auroc", "composite_probabilities", "composites", "per_code_auroc", "per_code_tasks", "slug", "write_per_code"]
+__all__ = ["composite_auroc", "composite_probabilities", "composites", "per_code_auroc", "per_code_tasks", "read_per_code", "run_per_code", "run_per_code_auroc", "slug", "write_per_code"]

@@ -288,10 +288,7 @@ def composite_probs(spark, sf):
 def composite_auroc(spark, sf):
     found = scored(spark, sf)
     labels = found.groupBy("subject_id", "prediction_time").agg(F.bool_or("boolean_value").alias("boolean_value"))
-    probs = mt.composite_probabilities(found).join(labels.withColumnRenamed("boolean_value", "y"), ["subject_id", "prediction_time"])
-    # sums of floats depend on their order in the last digit; rounding makes ties the same everywhere
-    long = probs.withColumns({f"prob_{k}": F.round(f"prob_{k}", 6) for k in mt.KINDS}).unpivot(["y"], [f"prob_{k}" for k in mt.KINDS], "aggregate", "p")
-    return rounded(mt.auroc_by(long, ["aggregate"], F.col("y"), F.col("p"), "auroc"), "auroc")
+    return rounded(mt.composite_auroc(found, labels, digits=6), "auroc")
 
 
 WIDE = f"{LOG}, {TIMES}, {GRID}, {labels_sql()}, wide AS (SELECT subject_id, prediction_time, bool_or(boolean_value IS NULL) AS censored, coalesce(bool_or(boolean_value) FILTER (WHERE query = 'click'), false) AS click, coalesce(bool_or(boolean_value) FILTER (WHERE query = 'error'), false) AS error FROM labels WHERE duration_days = 3 GROUP BY 1, 2)"
@@ -334,13 +331,18 @@ def code_counts(spark, sf):
     return pp.count_codes(orders_log(spark, sf))
 
 
-@register("rare_code_filter", f"""WITH {ORDERS}, r AS (SELECT subject_id, time, code || '//' || CAST(year(time) AS VARCHAR) AS code, numeric_value FROM olog),
-  n AS (SELECT code, count(DISTINCT subject_id) AS k FROM r GROUP BY 1), t AS (SELECT quantile_disc(k, 0.5) AS m FROM n) SELECT r.* FROM r JOIN n USING (code), t WHERE k >= m OR r.time IS NULL""")
+RARE = "CASE WHEN o_orderkey % 97 = 0 THEN 'HOSPITAL_ADMISSION//' || CAST(o_orderkey % 1000 AS VARCHAR) ELSE o_orderpriority || '//' || CAST(o_custkey % 500 AS VARCHAR) END"
+
+
+@register("rare_code_filter", f"""WITH r AS (SELECT o_custkey AS subject_id, CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS time, {RARE} AS code FROM orders),
+  n AS (SELECT code, count(DISTINCT subject_id) AS k FROM r GROUP BY 1) SELECT r.* FROM r JOIN n USING (code) WHERE k >= 2 OR time IS NULL OR code LIKE '%ADMISSION%'""")
 def rare_code_filter(spark, sf):
-    coded = orders_log(spark, sf).withColumn("code", F.concat("code", F.lit("//"), F.year("time").cast("string")))
-    counts = pp.count_codes(coded)
-    middle = counts.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY `code/n_subjects`)").cast("bigint")).first()[0]
-    return pp.filter_rare_codes(coded, counts, middle)
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    code = F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("HOSPITAL_ADMISSION//"), (F.col("o_orderkey") % 1000).cast("string")))
+    code = code.otherwise(F.concat("o_orderpriority", F.lit("//"), (F.col("o_custkey") % 500).cast("string")))
+    time = F.when(F.col("o_orderkey") % 89 == 0, F.lit(None)).otherwise(F.col("o_orderdate").cast("timestamp_ntz"))
+    coded = o.select(F.col("o_custkey").cast("bigint").alias("subject_id"), time.alias("time"), code.alias("code"))
+    return pp.filter_rare_codes(coded, pp.count_codes(coded), 2)
 
 
 @register("min_events_filter", f"WITH {LOG} SELECT * FROM log WHERE subject_id IN (SELECT subject_id FROM log GROUP BY 1 HAVING count(DISTINCT time) >= 65)")
@@ -391,6 +393,33 @@ def vocab_index(spark, sf):
     return pp.vocabulary(log(spark, sf))
 
 
+SUMS = "sums AS (SELECT code, count(numeric_value) AS n, sum(numeric_value) AS s, sum(numeric_value * numeric_value) AS q FROM log GROUP BY 1)"
+
+
+@register("fit_normalisation", f'WITH {LOG}, {SUMS} SELECT code, n AS "values/n_occurrences", round(s, 4) AS "values/sum", round(q, 2) AS "values/sum_sqd" FROM sums')
+def fit_normalisation(spark, sf):
+    found = pp.fit_normalisation(log(spark, sf))
+    return found.select("code", "values/n_occurrences", F.round("values/sum", 4).alias("values/sum"), F.round("values/sum_sqd", 2).alias("values/sum_sqd"))
+
+
+@register("normalised_values", f"""WITH {LOG}, {VOCAB}, {SUMS}, f AS (SELECT code, s / n AS m, sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS d FROM sums)
+  SELECT subject_id, time, vocab_index AS code, CASE WHEN d > 0 THEN round((numeric_value - m) / d, 6) WHEN numeric_value IS NOT NULL THEN 0 END AS numeric_value FROM log JOIN vocab USING (code) JOIN f USING (code)""")
+def normalised_values(spark, sf):
+    own = log(spark, sf)
+    return pp.normalise_values(own, pp.vocabulary(own), pp.fit_normalisation(own)).withColumn("numeric_value", F.round("numeric_value", 6))
+
+
+@register("event_sequences", f"""WITH {LOG}, {VOCAB}, e AS (SELECT subject_id, time, string_agg(CAST(vocab_index AS VARCHAR), '+' ORDER BY vocab_index) AS codes FROM log JOIN vocab USING (code) GROUP BY 1, 2),
+  d AS (SELECT *, (epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY subject_id ORDER BY time)) / 86400000000.0 AS delta FROM e)
+  SELECT subject_id, count(*) AS n_events, md5(string_agg(codes, ',' ORDER BY time)) AS codes, round(sum(delta), 6) AS days FROM d GROUP BY 1""")
+def event_sequences(spark, sf):
+    own = log(spark, sf)
+    found = pp.event_sequences(pp.normalise_values(own, pp.vocabulary(own), pp.fit_normalisation(own)))
+    codes = F.concat_ws(",", F.transform("code", lambda e: F.concat_ws("+", F.transform(e, lambda c: c.cast("string")))))
+    days = F.aggregate("time_delta_days", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return found.select("subject_id", F.size("code").cast("bigint").alias("n_events"), F.md5(codes.cast("binary")).alias("codes"), F.round(days, 6).alias("days"))
+
+
 @register("sequence_tail", f"""WITH {LOG}, {VOCAB}, {TIMES}, tok AS (SELECT t.subject_id, t.prediction_time, l.time, vocab_index, numeric_value,
     row_number() OVER (PARTITION BY t.subject_id, t.prediction_time ORDER BY l.time DESC, vocab_index DESC, numeric_value DESC) AS back
     FROM times t JOIN log l ON l.subject_id = t.subject_id AND l.time <= t.prediction_time JOIN vocab USING (code))
@@ -398,9 +427,8 @@ def vocab_index(spark, sf):
 def sequence_tail(spark, sf):
     own = log(spark, sf)
     vocabulary = pp.vocabulary(own).selectExpr("code", "`code/vocab_index` AS vocab_index")
-    found = sq.history(all_times(spark, sf), sq.subject_tokens(sq.encode(own, vocabulary)))
-    last = sq.tail(F.col("tokens"), 8)
-    return found.select("subject_id", "prediction_time", F.size(last).cast("bigint").alias("n_tokens"), F.concat_ws(",", F.transform(last, lambda t: t["code"].cast("string"))).alias("codes"))
+    found = sq.history(all_times(spark, sf), sq.subject_tokens(sq.encode(own, vocabulary)), 8)
+    return found.select("subject_id", "prediction_time", F.size("tokens").cast("bigint").alias("n_tokens"), F.concat_ws(",", F.transform("tokens", lambda t: t["code"].cast("string"))).alias("codes"))
 
 
 @register("query_prepend", f"""WITH {LOG}, {VOCAB}, {CANDIDATES}, {topk_sql(K, SEED)}, g AS (SELECT *, 'purchase' AS query, CAST(3 AS FLOAT) AS duration_days FROM top),
@@ -435,9 +463,39 @@ def oov_codes(spark, sf):
     return sq.unknown_codes(orders_log(spark, sf), log(spark, sf).select("code").distinct(), "code")
 
 
-@register("index_fingerprint", None)
+def fingerprint_sql(source: str, columns: list[str], by: str | None = None) -> str:
+    key = KEY.format("concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in columns) + ")")
+    return f"SELECT {by + ', ' if by else ''}count(*) || ':' || CAST(sum(CAST({key} AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS fingerprint FROM {source}{' GROUP BY ' + by if by else ''}"
+
+
+@register("index_fingerprint", f"WITH {LOG}, {TIMES}, {GRID} " + fingerprint_sql("grid", ["CAST(duration_days AS DECIMAL(9, 1))", "epoch_us(prediction_time)", "query", "subject_id"]))
 def index_fingerprint(spark, sf):
-    return lb.fingerprint(grid(spark, sf))
+    return lb.fingerprint(grid(spark, sf).withColumn("duration_days", F.col("duration_days").cast("decimal(9,1)")), portable=True)
+
+
+@register("index_fingerprint_by_code", f"WITH {LOG}, {TIMES}, {GRID} " + fingerprint_sql("grid", ["CAST(duration_days AS DECIMAL(9, 1))", "epoch_us(prediction_time)", "subject_id"], "query"))
+def index_fingerprint_by_code(spark, sf):
+    return lb.fingerprint(grid(spark, sf).withColumn("duration_days", F.col("duration_days").cast("decimal(9,1)")), ["query"], portable=True)
+
+
+@register("epoch_metrics", f"""WITH {scored_sql()}, s AS (SELECT *, CASE WHEN subject_id % 4 = 0 THEN 'tuning' ELSE 'train' END AS split, boolean_value IS NULL AS cens FROM scored)
+  SELECT split, 'occurs_auroc' AS metric, round(auroc, 9) AS value FROM ({auroc_sql('s', 'split', 'boolean_value', 'occurs_prob', 'auroc')})
+  UNION ALL SELECT split, 'censor_auroc', round(auroc, 9) FROM ({auroc_sql('s', 'split', 'cens', 'censor_prob', 'auroc')})""")
+def epoch_metrics(spark, sf):
+    split = F.when(F.col("subject_id") % 4 == 0, "tuning").otherwise("train")
+    return rounded(mt.epoch_metrics(scored(spark, sf).withColumn("split", split)), "value")
+
+
+LOSS = "(greatest({x}, 0.0) - {x} * CAST({y} AS INTEGER) + ln(1.0 + exp(-abs({x}))))"
+
+
+@register("masked_losses", f"""WITH {scored_sql()}, x AS (SELECT query, boolean_value AS y, boolean_value IS NULL AS c, 4.0 * occurs_prob - 2.0 AS o, 4.0 * censor_prob - 2.0 AS z FROM scored),
+  m AS (SELECT query, coalesce(avg(CASE WHEN y IS NOT NULL THEN {LOSS.format(x='o', y='y')} END), 0.0) AS occurs_loss, coalesce(avg({LOSS.format(x='z', y='c')}), 0.0) AS censor_loss FROM x GROUP BY 1)
+  SELECT query, round(occurs_loss, 7) AS occurs_loss, round(censor_loss, 7) AS censor_loss, round(0.3 * occurs_loss + 0.7 * censor_loss, 7) AS loss FROM m""")
+def masked_losses(spark, sf):
+    logits = {f"{k}_logit": 4.0 * F.col(f"{k}_prob").cast("double") - 2.0 for k in ("occurs", "censor")}
+    found = mt.losses(scored(spark, sf).withColumns(logits), 0.3, ["query"])
+    return found.withColumns({c: F.round(c, 7) for c in ("occurs_loss", "censor_loss", "loss")})
 
 
 @register("reshard_subjects", f"WITH {LOG}, s AS (SELECT subject_id, CASE WHEN subject_id % 4 = 0 THEN 'tuning' ELSE 'train' END AS split FROM (SELECT DISTINCT subject_id FROM log)), n AS (SELECT subject_id, split, CAST(CAST(floor((row_number() OVER (PARTITION BY split ORDER BY subject_id) - 1) / 20) AS BIGINT) AS VARCHAR) AS shard FROM s) SELECT log.*, split, shard FROM log JOIN n USING (subject_id)")

@@ -3,11 +3,12 @@
 Outputs, under the output directory and its `_artifacts` sibling: the prediction-time map and the
 counts with a sidecar that is written last (its presence means a complete run for that minimum), the
 resolved index, and labels by shard with a fingerprint of the index they were made from. A rerun
-reuses the map for the same minimum, and relabels only when the index has changed.
+reuses the map for the same minimum, and relabels only the shards whose index has changed.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,22 +94,50 @@ def draw_index(spark: SparkSession, cfg: TrainingConfig, times: DataFrame, count
     return resolve_index(queries, contexts, times, cfg.contexts_per_query)
 
 
+def label_shards(spark: SparkSession, cfg: TrainingConfig) -> dict[str, str]:
+    """Label the shards whose index has changed since they were labelled, drop those that the index lacks; returns each shard's status.
+
+    The shards to do are labelled in one job, into a temporary directory, and published one by one, each with
+    its fingerprint after it, so that a broken run goes on where it stopped.
+    """
+    at, out = cfg.artifacts, f"{cfg.output_dir}/{cfg.split}"
+    files.clean_temps(spark, out)
+    index = spark.read.parquet(f"{at}/index").withColumn("shard", F.col("shard").cast("string"))
+    # one row for each shard file
+    wanted = {r.shard: r.fingerprint for r in fingerprint(index, ["shard"]).collect()}
+    done = {} if cfg.overwrite else files.read_json(spark, f"{at}/labeled.json") or {}
+    status = {s: "kept" for s in wanted if done.get(s) == wanted[s] and files.exists(spark, f"{out}/shard={s}")}
+    for name, _ in files.entries(spark, out):
+        if name.startswith("shard=") and name[6:] not in wanted:
+            files.delete(spark, f"{out}/{name}")
+    done = {s: done[s] for s in status}
+    todo = sorted(set(wanted) - set(status))
+    if todo:
+        some = index.where(F.col("shard").isin(todo))
+        log = ev.normalise(logs.read_log(spark, cfg.data_dir, cfg.split).where(F.col("shard").isin(todo)))
+        labels = align(label_index(some.drop("shard"), log, cfg.terminal), TASK_QUERY).join(some.select("subject_id", "shard").distinct(), "subject_id")
+        temp = f"{out}.{uuid.uuid4().hex}{files.TEMP}"
+        try:
+            labels.repartition("shard").write.partitionBy("shard").parquet(temp)
+            made = {r.shard: r.n for r in spark.read.parquet(temp).groupBy(F.col("shard").cast("string").alias("shard")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            if wrong := {s: (made.get(s, 0), wanted[s]) for s in todo if str(made.get(s, 0)) != wanted[s].partition(":")[0]}:
+                raise ValueError(f"labels and index rows differ in number by shard: {wrong}")
+            for s in todo:
+                files.rename(spark, f"{temp}/shard={s}", f"{out}/shard={s}")
+                done[s], status[s] = wanted[s], "labeled"
+                files.write_json(spark, f"{at}/labeled.json", done)
+        finally:
+            files.delete(spark, temp)
+    files.write_json(spark, f"{at}/labeled.json", done)
+    return status
+
+
 def run(spark: SparkSession, cfg: TrainingConfig) -> dict:
     """All stages; returns the coverage summary."""
     times, counts = build_prediction_times(spark, cfg)
-    at, out = cfg.artifacts, f"{cfg.output_dir}/{cfg.split}"
-    files.write_by_shard(draw_index(spark, cfg, times, counts), f"{at}/index")
-    index = spark.read.parquet(f"{at}/index")
-    digest = fingerprint(index).first()[0]
-    done = files.read_json(spark, f"{at}/labeled.json") or {}
-    if cfg.overwrite or done.get("index") != digest or not files.exists(spark, out):
-        files.delete(spark, f"{at}/labeled.json")
-        log = ev.normalise(logs.read_log(spark, cfg.data_dir, cfg.split))
-        shards = index.select("subject_id", F.col("shard").cast("string").alias("shard")).distinct()
-        labels = align(label_index(index.drop("shard"), log, cfg.terminal), TASK_QUERY).join(shards, "subject_id")
-        files.write_by_shard(labels, out)
-        files.write_json(spark, f"{at}/labeled.json", {"index": digest})
-    found = summary(spark.read.parquet(out)).first().asDict()
-    if found["n_rows"] != cfg.n_queries * cfg.contexts_per_query:
-        raise ValueError(f"{found['n_rows']} labels, but {cfg.n_queries * cfg.contexts_per_query} were drawn")
-    return found
+    files.write_by_shard(draw_index(spark, cfg, times, counts), f"{cfg.artifacts}/index")
+    budget = cfg.n_queries * cfg.contexts_per_query
+    if (n := spark.read.parquet(f"{cfg.artifacts}/index").count()) != budget:
+        raise ValueError(f"{n} index rows, but {budget} were drawn")
+    label_shards(spark, cfg)
+    return summary(spark.read.parquet(f"{cfg.output_dir}/{cfg.split}")).first().asDict()

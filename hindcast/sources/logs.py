@@ -37,20 +37,77 @@ def event_table_as_log(events: DataFrame) -> DataFrame:
     )
 
 
+_ESCAPES = {"n": "\n", "t": "\t", '"': '"', "\\": "\\", "/": "/", "0": "\0"}
+
+
+def _scalar(text: str, at: int, stops: str) -> tuple[str, int]:
+    """The scalar that begins at a place, and the place behind it: quoted, or plain up to a stop or a comment."""
+    quote = text[at]
+    if quote not in "'\"":
+        end = at
+        while end < len(text) and text[end] not in stops and not (text[end] == "#" and text[end - 1] in " \t\n"):
+            end += 1
+        return text[at:end].strip(), end
+    out, at = [], at + 1
+    while at < len(text):
+        if text[at] == quote == "'" and text[at : at + 2] == "''":
+            out.append("'")
+            at += 2
+        elif text[at] == quote:
+            return "".join(out), at + 1
+        elif text[at] == "\\" and quote == '"':
+            out.append(_ESCAPES.get(text[at + 1 : at + 2], text[at + 1 : at + 2]))
+            at += 2
+        else:
+            out.append(text[at])
+            at += 1
+    raise ValueError(f"a quoted code doesn't end: {text[:80]!r}")
+
+
+def _skip(text: str, at: int) -> int:
+    """The next place that is neither white space nor part of a comment."""
+    while at < len(text):
+        if text[at] == "#" and (at == 0 or text[at - 1] in " \t\n"):
+            at = text.find("\n", at) if "\n" in text[at:] else len(text)
+        elif text[at].isspace():
+            at += 1
+        else:
+            break
+    return at
+
+
 def parse_codes(text: str) -> list[str]:
-    """Codes of a YAML list, or of the list under `codes`, one plain or quoted scalar to a line or in brackets."""
-    lines = [re.sub(r"(^|\s)#.*$", "", line).rstrip() for line in text.splitlines()]
-    lines = [line for line in lines if line.strip() and line.strip() != "---"]
-    if lines and (m := re.match(r"codes\s*:\s*(.*)$", lines[0])):
-        lines = [m[1], *lines[1:]] if m[1] else lines[1:]
-    joined = " ".join(line.strip() for line in lines)
-    if joined.startswith("[") and joined.endswith("]"):
-        items = [x.strip() for x in joined[1:-1].split(",") if x.strip()]
-    elif lines and all(re.match(r"\s*-\s+\S", line) for line in lines):
-        items = [re.sub(r"^\s*-\s+", "", line).strip() for line in lines]
+    """Codes of a YAML list, or of the list under `codes`: plain or quoted scalars, a line each or in brackets."""
+    wrong = ValueError("expected a list of codes, or a list under `codes`")
+    at = _skip(text, 0)
+    if text.startswith("---", at):
+        at = _skip(text, at + 3)
+    if m := re.compile(r"codes[ \t]*:").match(text, at):
+        at = _skip(text, m.end())
+    items: list[str] = []
+    if text[at : at + 1] == "[":
+        at = _skip(text, at + 1)
+        while text[at : at + 1] != "]":
+            if at >= len(text):
+                raise wrong
+            item, at = _scalar(text, at, ",]\n")
+            items.append(item)
+            at = _skip(text, at)
+            if text[at : at + 1] == ",":
+                at = _skip(text, at + 1)
+            elif text[at : at + 1] != "]":
+                raise wrong
+        at = _skip(text, at + 1)
     else:
-        raise ValueError("expected a list of codes, or a list under `codes`")
-    return [x[1:-1] if len(x) > 1 and x[0] == x[-1] and x[0] in "'\"" else x for x in items]
+        while m := re.compile(r"-[ \t]+(?=\S)").match(text, at):
+            item, at = _scalar(text, m.end(), "\n")
+            items.append(item)
+            at = _skip(text, at)
+        if not items:
+            raise wrong
+    if at < len(text):
+        raise wrong
+    return items
 
 
 def read_codes(spark: SparkSession, source: list[str] | str | None) -> list[str]:
@@ -76,9 +133,19 @@ LABEL_COLUMNS = ("subject_id", "prediction_time", "boolean_value", "occurs", "qu
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """All label files of a directory, each cut to the known columns."""
-    df = spark.read.parquet(path)
-    return df.select(*(c for c in LABEL_COLUMNS if c in df.columns))
+    """All label files of a directory, each cut to the known columns that it has; files that have other ones of them than the first raise.
+
+    Files that lack no column in common are read in one scan; the schema of each comes from its footer.
+    """
+    named = [f"{path}/{n}" for n, _ in files.entries(spark, path) if n.endswith(".parquet")] if files.is_dir(spark, path) else []
+    shapes: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(named) or [path]:
+        columns = spark.read.parquet(file).columns
+        shapes.setdefault(tuple(c for c in LABEL_COLUMNS if c in columns), []).append(file)
+    if len(shapes) > 1:
+        raise ValueError(f"label files differ in columns: { {v[0]: list(k) for k, v in shapes.items()} }")
+    (columns, parts), = shapes.items()
+    return spark.read.parquet(*parts).select(*columns)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

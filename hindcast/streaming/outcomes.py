@@ -13,7 +13,10 @@ from ..functions.columns import window_end
 
 
 def first_hits(tasks: DataFrame, stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Task rows with an event of their code inside their window, once each: a stream-static join with dedup under a watermark."""
+    """Task rows with an event of their code inside their window: a stream-static join.
+
+    Repeats within the watermark are dropped; a later event of the same row may give it again, so `close` takes rows once.
+    """
     keyed = stream.select("subject_id", F.col("code").alias("query"), F.col("time").cast("timestamp").alias("event_time")).withWatermark("event_time", delay)
     joined = keyed.join(tasks, ["subject_id", "query"])
     at = F.col("event_time").cast("timestamp_ntz")

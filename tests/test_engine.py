@@ -206,8 +206,15 @@ def test_evaluation_sampling(spark):
 def test_evaluation_run(spark, data_dir, tmp_path):
     out = evaluation.run_tasks(spark, data_dir, str(tmp_path), "train", SYNTHETIC[:2], [30, 60], 2, 5)
     tasks = spark.read.parquet(out)
-    assert tasks.columns == TASK_QUERY.columns and tasks.where("boolean_value is null").count() == 0 and tasks.count() > 0
+    assert tasks.columns == [*TASK_QUERY.columns, "shard"] and tasks.where("boolean_value is null").count() == 0 and tasks.count() > 0
     assert evaluation.run_tasks(spark, data_dir, str(tmp_path), "train", SYNTHETIC[:2], [30, 60], 2, 5) is None
+    # a shard that is missing is made again, alike, and the others are left alone
+    rows = lambda: sorted(map(tuple, spark.read.parquet(out).collect()), key=str)
+    before, shards = rows(), sorted(n for n, _ in files.entries(spark, out) if n.startswith("shard="))
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "train" / shards[-1]).iterdir()}
+    files.delete(spark, f"{out}/{shards[0]}")
+    assert evaluation.run_tasks(spark, data_dir, str(tmp_path), "train", SYNTHETIC[:2], [30, 60], 2, 5) == out
+    assert rows() == before and len(shards) > 1 and {p: p.stat().st_mtime_ns for p in kept} == kept
 
 
 def predictions(spark, rows):
@@ -354,7 +361,7 @@ def test_files_and_cli(spark, tmp_path, data_dir, capsys):
     assert files.clean_temps(spark, str(tmp_path)) == 1
     from hindcast import cli
 
-    for command in ("preprocess", "training-tasks", "evaluation-tasks", "predict", "evaluate", "composites"):
+    for command in ("preprocess", "training-tasks", "evaluation-tasks", "predict", "evaluate", "composites", "per-code-tasks", "per-code-auroc"):
         with pytest.raises(SystemExit) as stop:
             cli.main([command, "--help"])
         assert stop.value.code == 0
@@ -377,3 +384,125 @@ def test_streaming(spark, tmp_path):
     counts = outcomes.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert spark.table("counts").agg({"n": "sum"}).first()[0] == 4
+
+
+def test_relabels_only_shards_that_changed(spark, data_dir, tmp_path):
+    config = lambda **kw: training.TrainingConfig(data_dir, str(tmp_path / "t"), list(SYNTHETIC), n_queries=6, contexts_per_query=4, least_times=5, **kw)
+    training.run(spark, config())
+    cfg = config()
+    rows = lambda: sorted(map(tuple, spark.read.parquet(f"{cfg.output_dir}/train").collect()), key=str)
+    before = rows()
+    assert set(training.label_shards(spark, cfg).values()) == {"kept"}
+    shards = sorted(training.label_shards(spark, cfg))
+    files.delete(spark, f"{cfg.output_dir}/train/shard={shards[0]}")
+    (tmp_path / "t" / "train" / "shard=gone").mkdir()
+    status = training.label_shards(spark, cfg)
+    assert status == {s: "labeled" if s == shards[0] else "kept" for s in shards} and rows() == before
+    assert not files.exists(spark, f"{cfg.output_dir}/train/shard=gone")
+
+
+def test_replacing_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "x")
+    files.write_parquet(spark.range(3), path)
+    files.write_parquet(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [n for n, _ in files.entries(spark, str(tmp_path))] == ["x"]
+    with pytest.raises(ValueError, match="wrong"):
+        files.write_all({path: spark.range(9), str(tmp_path / "y"): spark.range(1)}, lambda temps: (_ for _ in ()).throw(ValueError("wrong")))
+    assert spark.read.parquet(path).count() == 5 and not files.exists(spark, str(tmp_path / "y"))
+    # a run that broke between moving the old table aside and renaming the new one
+    (tmp_path / "x").rename(tmp_path / ("x." + "0" * 32 + files.REPLACED))
+    files.clean_temps(spark, str(tmp_path))
+    assert spark.read.parquet(path).count() == 5
+    files.write_csv(spark.range(2), str(tmp_path / "c.csv"))
+    with pytest.raises(FileExistsError):
+        files.write_csv(spark.range(2), str(tmp_path / "c.csv"))
+    assert files.stamped("/a/c.csv", BASE) == "/a/c.20200101T000000.csv"
+
+
+@pytest.mark.parametrize(
+    ("text", "codes"),
+    [("[a, 'b,c']", ["a", "b,c"]), ("- 'x # y'\n- b # c\n", ["x # y", "b"]), ('---\ncodes: [a, "q\\"r", ]\n', ["a", 'q"r']), ("- a: b\n- c#d\n", ["a: b", "c#d"]), ("[\n  'it''s',  # one\n  b\n]", ["it's", "b"])],
+)
+def test_parse_codes(text, codes):
+    assert logs.parse_codes(text) == codes
+
+
+def test_label_files_must_agree(spark, tmp_path):
+    labels = index(spark, [(1, 0, "A", 7)]).selectExpr("*", "1 AS extra")
+    (tmp_path / "l").mkdir()
+    labels.coalesce(1).toPandas().to_parquet(tmp_path / "l" / "0.parquet", coerce_timestamps="us")
+    labels.drop("extra").toPandas().to_parquet(tmp_path / "l" / "1.parquet", coerce_timestamps="us")
+    assert logs.read_labels(spark, str(tmp_path / "l")).columns == ["subject_id", "prediction_time", "query", "duration_days"]
+    labels.drop("query").toPandas().to_parquet(tmp_path / "l" / "2.parquet", coerce_timestamps="us")
+    with pytest.raises(ValueError, match="differ"):
+        logs.read_labels(spark, str(tmp_path / "l"))
+
+
+def test_batches():
+    import pandas as pd
+
+    batch = pd.DataFrame({"codes": [[3, 1], [2]], "numeric_values": [[np.nan, 0.5], [np.nan]], "time_deltas": [[0.0, 2.0], [0.0]], "duration_days": [365.0, 73.0], "boolean_value": [True, None]})
+    predict.check_batch(batch, 2, 4, "SEM")
+    for bad in ({"longest": 1}, {"n_codes": 3}, {"mode": "X"}):
+        with pytest.raises(ValueError):
+            predict.check_batch(batch, **bad)
+    with pytest.raises(ValueError, match="padding"):
+        predict.check_batch(batch.assign(codes=[[3, 1], [0]]))
+    got = predict.collate(batch)
+    assert got["code"].tolist() == [[3, 1], [2, 0]] and got["mask"].tolist() == [[True, True], [True, False]]
+    assert got["query"].tolist() == [3, 2] and got["durations"].tolist() == pytest.approx([1.0, 0.2])
+    assert got["censored"].tolist() == [False, True] and got["occurs"].tolist() == [True, False]
+    assert got["numeric_value"].tolist() == [[0.0, 0.5], [0.0, 0.0]] and got["numeric_value_mask"].tolist() == [[False, True], [False, False]]
+    embedded, mask = predict.with_duration(np.zeros((2, 2, 3)), got["mask"], np.ones((2, 3)))
+    assert embedded.shape == (2, 3, 3) and embedded[:, 1].all() and mask.tolist() == [[True, True, True], [True, True, False]]
+    assert predict.collate(batch.iloc[:0])["code"].shape == (0, 0)
+
+
+def test_query_record_and_alignment(spark):
+    frame = spark.createDataFrame([(5,)], "query_index long")
+    flat, nested = (frame.select(sq.query_record(m).alias("r")).first().r for m in sq.MODES)
+    assert flat.code == [5] and nested.code == [[5]] and all(np.isnan(x) for r in (flat, nested) for x in (*r.numeric_value, *r.time_delta_days))
+    with pytest.raises(ValueError):
+        sq.query_record("X")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string")
+    assert [(r.row, r.id) for r in sq.surviving(rows, rows.where("id != 2"), ["id"]).orderBy("row").collect()] == [(0, 1), (2, 3)]
+
+
+def test_losses(spark):
+    rows = [(True, 0.0, 1.0), (False, 2.0, -1.0), (None, 9.0, 0.0)]
+    frame = spark.createDataFrame(rows, "boolean_value boolean, occurs_logit double, censor_logit double")
+    got = mt.losses(frame, 0.25).first()
+    bce = lambda x, y: np.log1p(np.exp(-abs(x))) + max(x, 0) - x * y
+    occurs, censor = (bce(0.0, 1) + bce(2.0, 0)) / 2, (bce(1.0, 0) + bce(-1.0, 0) + bce(0.0, 1)) / 3
+    assert (got.occurs_loss, got.censor_loss, got.loss) == pytest.approx((occurs, censor, 0.25 * occurs + 0.75 * censor))
+    assert mt.losses(frame.where("boolean_value is null")).first().occurs_loss == 0
+    far = spark.createDataFrame([(False, 800.0, -800.0)], frame.schema)
+    assert mt.losses(far).first().occurs_loss == 800 and mt.losses(far).first().censor_loss == 0
+
+
+def test_normalisation_and_nested_tokens(spark):
+    rows = [(1, day(0), "A", 1.0), (1, day(0), "B", None), (1, day(3), "A", 3.0), (1, None, "S", 2.0), (2, day(1), "A", float("nan")), (2, day(1), "gone", 1.0)]
+    events = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, code string, numeric_value double")
+    vocabulary = pp.vocabulary(events.where("code != 'gone'"))
+    made = pp.normalise_values(events, vocabulary, pp.fit_normalisation(events))
+    assert made.count() == 5
+    seqs = {r.subject_id: r for r in pp.event_sequences(made).collect()}
+    assert seqs[1].code == [[1, 2], [1]] and seqs[1].numeric_value == [[-1.0, None], [1.0]] and seqs[1].time_delta_days == [None, 3.0]
+    assert seqs[2].code == [[1]] and seqs[2].numeric_value == [[None]]
+    schemas = {r.subject_id: r for r in pp.subject_schemas(made).collect()}
+    assert schemas[1].code == [3] and schemas[1].numeric_value == [0.0] and schemas[1].time == [day(0), day(3)] and schemas[2].code == []
+
+
+def test_per_code_commands(spark, tmp_path):
+    wide = spark.createDataFrame([(i, BASE, False, i % 2 == 0, i % 3 == 0) for i in range(12)], "subject_id long, prediction_time timestamp_ntz, censored boolean, `A//1` boolean, B boolean")
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide.selectExpr("subject_id", "prediction_time", "B as boolean_value").write.parquet(str(tmp_path / "labels"))
+    out = external.run_per_code(spark, str(tmp_path / "wide"), str(tmp_path / "labels"), ["A//1", "B"], str(tmp_path / "tasks"), 30.0)
+    with pytest.raises(FileExistsError):
+        external.run_per_code(spark, str(tmp_path / "wide"), str(tmp_path / "labels"), ["B"], out, 30.0)
+    assert {r.slug for r in external.read_per_code(spark, out).select("slug").distinct().collect()} == {slug("A//1"), slug("B")}
+    micros = 1_577_836_800_000_000  # BASE
+    spark.createDataFrame([(i, micros, c, (i % 2 == 0) + 0.01 * i if c == "A//1" else 0.5) for i in range(12) for c in ("A//1", "B")], "subject_id long, prediction_time long, code string, occurs_probs double").coalesce(1).write.csv(str(tmp_path / "p"), header=True)
+    found = {r["query"]: r.auroc for r in external.run_per_code_auroc(spark, str(tmp_path / "p"), out, str(tmp_path / "auroc.csv")).collect()}
+    assert found == {"A//1": 1.0, "B": 0.5}
+    assert len([n for n, _ in files.entries(spark, str(tmp_path)) if n.startswith("auroc.")]) == 1
