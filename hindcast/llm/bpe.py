@@ -3,11 +3,12 @@
 Texts are cut where a rolling hash of the last bytes hits a mask, so equal passages of different
 documents give equal chunks whatever stands around them. A chunk's core runs from its first to its
 last white space; each core is encoded once for a worker and its ids are reused wherever it recurs
-(a bounded cache; the cache saves work and never changes a result). Where the tokenizer splits at
-white space, as a probe at the start shows, words inside a new core are looked up the same way. What a cut tore apart, the words
-at a join of two chunks, is repaired: the join is encoded together with a flank of whole words of both
-cores, and it stands when the ids of both flanks agree exactly with those of the cores; else the
-flanks are doubled, at last to the whole text.
+(a bounded cache). A core is encoded by the library, or, where the tokenizer splits at white space, as a
+probe at the start shows, from its words, each of which the library has encoded once. What a cut tore
+apart, the words at a join of two chunks, is repaired: the library encodes the join anew, as it stands in
+the text, together with a flank of whole words of both cores, and it stands when the ids of both flanks
+agree exactly with those that the cores have there; else the flanks are doubled, and at last the whole
+text is encoded by the library. Every join is thus a test of what the cores on both sides were given.
 
 Decoding joins the vocabulary's pieces as the library does for a tokenizer without a decoder. Null
 and empty texts give no ids; texts are read whole; columns besides doc_id and text are ignored.
@@ -28,7 +29,7 @@ from .textvec import mix, prefix_hash, utf8
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 24
-MASK_BITS = 9
+MASK_BITS = 10
 CACHED = 16_384
 WORDS_CACHED = 300_000
 MARK, RUN = b"\x01", 1000
@@ -71,6 +72,7 @@ class Encoder:
         self.pieces = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.cores: dict[bytes, np.ndarray] = {}
         self.flanks: dict[bytes, np.ndarray] = {}
+        self.joins: dict[bytes, np.ndarray] = {}
         self.words: dict[bytes, bytes] = {}
         self.encoded = self.reused = self.widened = 0
         probe = "Ab c'd  é,f\n12 gh\t<|x|> i"
@@ -80,8 +82,10 @@ class Encoder:
         self.splits_at_space = self.tokenizer.encode(probe, add_special_tokens=False).ids == parts and self.mark is not None
 
     def encode_all(self, parts: list[bytes]) -> list[np.ndarray]:
-        if self.splits_at_space:
-            return self.encode_words(parts)
+        return self.encode_words(parts) if self.splits_at_space else self.encode_whole(parts)
+
+    def encode_whole(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of parts by the library, as they stand."""
         got = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in got]
 
@@ -118,7 +122,7 @@ class Encoder:
 
     def encode_slice(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a slice."""
-        for cache in (self.cores, self.flanks):
+        for cache in (self.cores, self.flanks, self.joins):
             if len(cache) > CACHED:
                 cache.clear()
         raw, offsets = utf8(column)
@@ -154,9 +158,11 @@ class Encoder:
                 flanks += [f for f in (lf, rf) if f]
         self.cached(self.flanks, flanks)
         todo = [j for j in joins if j]
-        whole = self.encode_all([lf + mid + rf for lf, mid, rf, _, _ in todo])
+        whole = [lf + mid + rf for lf, mid, rf, _, _ in todo]
+        new = [w for w in dict.fromkeys(whole) if w not in self.joins]
+        self.joins.update(zip(new, self.encode_whole(new), strict=True))
         none, at, out = np.zeros(0, "<u4"), 0, []
-        repaired = iter(whole)
+        repaired = map(self.joins.__getitem__, whole)
         for d, own in enumerate(texts_cores):
             ids: list[np.ndarray] = []
             for j in range(len(own) + 1):
@@ -167,7 +173,7 @@ class Encoder:
                 if j < len(own):
                     ids.append(self.cores[data[own[j][0] : own[j][1]]])
             if any(x is None for x in ids):  # no flank agreed: the text is encoded whole
-                ids = self.encode_all([data[bounds[d] : bounds[d + 1]]])
+                ids = self.encode_whole([data[bounds[d] : bounds[d + 1]]])
             out.append(np.concatenate(ids) if ids else none)
         return out
 
@@ -187,7 +193,7 @@ class Encoder:
             if wider == (lf, rf):
                 return None
             lf, rf = wider
-            got = self.encode_all([lf + mid + rf])[0]
+            got = self.encode_whole([lf + mid + rf])[0]
 
     def stands(self, data: bytes, core: tuple[int, int] | None, flank: np.ndarray, tail: bool) -> bool:
         """Whether the core's own ids end (or begin) with the flank's."""

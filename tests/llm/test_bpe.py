@@ -69,3 +69,12 @@ def test_rows(spark):
     assert rows == [(1, 0, empty, empty), (2, 0, empty, empty), full, full]
     assert [r.ids for r in bpe.encode(docs.where("doc_id = 3"), PATH).collect()] == [ids, ids]
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_core_that_disagrees_with_its_join_is_encoded_whole():
+    encoder = bpe.Encoder(PATH)
+    text = " ".join(f"word{i}" for i in range(4000))
+    encoder.encode_slice(pa.array([text]))
+    for key, ids in encoder.cores.items():
+        encoder.cores[key] = np.append(ids[:-1], np.uint32(7))
+    assert encoder.encode_slice(pa.array([text]))[0].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
