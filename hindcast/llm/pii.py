@@ -7,7 +7,8 @@ pattern). Offsets are code points, ends exclusive.
 
 Base kinds: email, ip, card, phone, each exactly the leftmost non-overlapping matches of its fixed
 pattern. Own kinds after them: iban, login (a URL that carries user information), ssn, account (a
-number after an account cue), address (house number, name and street word).
+number after an account cue), address (house number, name and street word), secret (an assigned value
+after a cue such as a token or password, long and mixed enough not to be a word).
 
 Null and empty texts give no spans; the length of a text is not limited; repeated rows give repeated
 results; columns besides doc_id and text are ignored.
@@ -24,19 +25,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_slices, sha256, table, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "login", "ssn", "account", "address")
+KINDS = (*BASE_KINDS, "iban", "login", "ssn", "account", "address", "secret")
 
 # Anchors and cue words.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 ACCOUNT_CUES = ("account number", "account no", "acct no", "acct", "account id", "passport no", "passport number", "member id")
 SSN_CUES = ("ssn", "social security number", "social security no")
 IBAN_CUES = ("iban",)
+SECRET_CUES = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "bearer")
 STREETS = ("street", "avenue", "road", "boulevard", "lane", "drive", "court", "square", "straße", "platz", "calle", "avenida")
 
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
+_SECRET = _ALNUM | frozenset("_-+/=.~")
 _PHONE = _DIGITS | frozenset(" ().-")
 
 
@@ -48,7 +51,7 @@ def automaton() -> ahocorasick.Automaton:
     for d in "0123456789":
         found.add_word(d, ("digit", 1))
     cues = [("scheme", s) for s in SCHEMES] + [("account", s) for s in ACCOUNT_CUES] + [("ssn", s) for s in SSN_CUES]
-    cues += [("iban", s) for s in IBAN_CUES] + [("street", s) for s in STREETS]
+    cues += [("iban", s) for s in IBAN_CUES] + [("street", s) for s in STREETS] + [("secret", s) for s in SECRET_CUES]
     for kind, cue in cues:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             found.add_word(form, (kind, len(form)))
@@ -189,6 +192,25 @@ def parse_number(text: str, at: int, least: int, most: int) -> tuple[int, int] |
     return (start, pos) if least <= count <= most and whole and start > at else None
 
 
+def parse_secret(text: str, at: int) -> tuple[int, int] | None:
+    """The value that is assigned behind a cue which ends at `at`: a colon, an equals sign or (after bearer) a space, perhaps a quote, then the value.
+
+    A value has 16 characters at least, 8 different ones, and digits as well as letters.
+    """
+    n, pos, assigned = len(text), at, text[max(at - 6, 0) : at].lower() == "bearer"
+    while pos < n and pos - at < 6 and text[pos] in " \t:=\"'`":
+        assigned |= text[pos] in ":="
+        pos += 1
+    start = pos
+    while pos < n and text[pos] in _SECRET:
+        pos += 1
+    while pos > start and text[pos - 1] in ".-":
+        pos -= 1
+    value = text[start:pos]
+    mixed = any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)
+    return (start, pos) if assigned and start > at and len(value) >= 16 and len(set(value)) >= 8 and mixed else None
+
+
 def parse_address(text: str, begin: int, end: int) -> tuple[int, int] | None:
     """House number, one to three capitalised names and the street word that spans begin to end."""
     if end < len(text) and text[end].isalnum() or begin == 0 or text[begin - 1] != " ":
@@ -250,6 +272,9 @@ def find(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int,
         elif kind == "ssn":
             if found := parse_number(text, last + 1, 9, 9):
                 spans["ssn"].append(found)
+        elif kind == "secret":
+            if found := parse_secret(text, last + 1):
+                spans["secret"].append(found)
         elif kind == "account":
             if found := parse_number(text, last + 1, 6, 18):
                 spans["account"].append(found)
@@ -262,8 +287,8 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in spans[k])
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_more long, base_sha256 string, spans string"
-_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in (*BASE_KINDS, "more")), ("base_sha256", pa.string()), ("spans", pa.string())])
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_more long, n_spans long, base_sha256 string, spans string"
+_ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in (*BASE_KINDS, "more", "spans")), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -278,6 +303,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for k in BASE_KINDS:
                 out[f"n_{k}"].append(len(spans[k]))
             out["n_more"].append(sum(len(spans[k]) for k in KINDS[len(BASE_KINDS) :]))
+            out["n_spans"].append(sum(map(len, spans.values())))
             out["base_sha256"].append(sha256(joined(spans, BASE_KINDS).encode()))
             out["spans"].append(joined(spans, KINDS))
         return out

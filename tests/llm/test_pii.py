@@ -43,6 +43,9 @@ def test_base_spans_equal_the_patterns(text):
         ("see https://me:secret@host.example/x now", "login", "https://me:secret@host.example"),
         ("Her SSN 078-05-1120.", "ssn", "078-05-1120"),
         ("account number: 12345678 is", "account", "12345678"),
+        ('token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" ends', "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"),
+        ("API_KEY: Zk9-aaBB_1234567890xyz.", "secret", "Zk9-aaBB_1234567890xyz"),
+        ("Authorization: Bearer abc.DEF-123456789012 x", "secret", "abc.DEF-123456789012"),
         ("lives at 12 Old Mill Lane, upstairs", "address", "12 Old Mill Lane"),
     ],
 )
@@ -50,7 +53,7 @@ def test_own_kinds(text, kind, span):
     assert [text[a:b] for a, b in pii.find(text, ANCHORS)[kind]] == [span]
 
 
-@pytest.mark.parametrize("text", ["", "IBAN GB82WEST12345698765433", "lossnk 123456789", "the lane", "https://host/x"])
+@pytest.mark.parametrize("text", ["", "IBAN GB82WEST12345698765433", "lossnk 123456789", "the lane", "https://host/x", "a token of gratitude", "token = aaaaaaaaaaaaaaaaaaaa1", "password: correct", "tokenf3ef4d6b2755a36d7d9c25bd72c4"])
 def test_clean(text):
     assert not any(pii.find(text, ANCHORS).values())
 
@@ -62,3 +65,11 @@ def test_rows(spark):
     three = (3, len(emails), 0, ",".join(f"email:{a}:{b}" for a, b in emails))
     assert rows == sorted([(1, 0, 0, ""), (2, 0, 0, ""), three, three, (None, 0, 1, "phone:0:15")], key=str)
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    """A text of several megabytes is read whole."""
+    text = "word " * 600_000 + "me@host.example 10.0.0.1"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.personal_data(docs).first()
+    assert (row.n_email, row.n_ip, row.n_spans) == (1, 1, 2) and row.spans.endswith(f"ip:{len(text) - 8}:{len(text)}")
