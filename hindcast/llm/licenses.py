@@ -5,7 +5,9 @@ A template is license wording with two kinds of markup: `[[ ... ]]` encloses an
 automaton over tokens (position automaton: one state for each token, follow sets across optional and
 replaceable regions), kept as bit masks. A text is accepted where every mandatory word of a template
 stands in order with nothing else between than the markup allows. Automata run only from places where
-one of their first words stands, and end as soon as no state is alive.
+one of their first words stands, and end as soon as no state is alive. Words are looked up by hash, and those of
+a match compared as text. A replaceable region at a template's beginning proves nothing: such a template
+starts at the first word behind it.
 
 Base labels come from four fixed phrases whose words stand consecutively. Template labels name what
 the wording says exactly. Null and empty texts have no words; texts are read whole; repeated rows give
@@ -27,18 +29,59 @@ from .textvec import WORD, Words, hash_words, words
 # Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Templates, each with the label it proves and its share of the score.
+# Wording that several templates share.
+_WARRANTY = "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {name} for more details"
+_AS_IS = (
+    "this software is provided by {{10}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+    " in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or"
+    " profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this"
+    " software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above"
+    " copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+    " in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = "[[3]] neither the name of {{10}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GNU = "{{8}} is free software [[you can]] redistribute it and or modify it under the terms of the {name} as published by the free software foundation"
+
+
+def gnu(name: str, version: str, later: bool) -> str:
+    """The notice that the texts of the GNU licenses recommend, for one name and version."""
+    terms = f"either version {version} of the license or [[at your option]] any later version" if later else f"version {version} [[of the license]]"
+    return f"{_GNU} {terms} {{{{8}}}} is distributed in the hope that it will be useful but {_WARRANTY}".replace("{name}", name)
+
+
+# Templates, each with the label that it proves.
 TEMPLATES = (
     ("gpl-notice", "[[this work is]] [[this program is]] licensed under the gnu general public license version {{3}}"),
-    ("gpl-notice", "this program is free software [[you can]] redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-notice", _GNU.replace("{name}", "gnu general public license")),
+    ("gpl-2.0-or-later", gnu("gnu general public license", "2", True)),
+    ("gpl-2.0-only", gnu("gnu general public license", "2", False)),
+    ("gpl-3.0-or-later", gnu("gnu general public license", "3", True)),
+    ("gpl-3.0-only", gnu("gnu general public license", "3", False)),
+    ("lgpl-2.1-or-later", gnu("gnu lesser general public license", "2 1", True)),
+    ("lgpl-3.0-or-later", gnu("gnu lesser general public license", "3", True)),
+    ("agpl-3.0-or-later", gnu("gnu affero general public license", "3", True)),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[{{10}}]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("mit-notice", "released under the mit license"),
     ("mit-notice", "[[this {{3}} is]] licensed under the [[terms of the]] mit license"),
-    ("cc-by-notice", "licensed under [[a]] [[the]] [[creative commons attribution]] cc by {{2}}"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{6}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{6}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{6}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]"),
     ("isc-text", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("bsd-text", _BSD),
+    ("bsd-2-clause", f"{_BSD} {_AS_IS}"),
+    ("bsd-3-clause", f"{_BSD} {_BSD_NAMES} {_AS_IS}"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0 [[{{16}}]]"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at {{8}}]]"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0 which [[accompanies this distribution and]] is available at {{8}}"),
+    ("cc0-1.0", "to the extent possible under law {{10}} waived all copyright and related or neighboring rights to {{10}}"),
+    ("cc-by-notice", "licensed under [[a]] [[the]] [[creative commons attribution]] cc by {{2}}"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
 )
 
 
@@ -132,7 +175,7 @@ class Scanner:
                 for i in np.flatnonzero(tokens == token).tolist():
                     d = int(doc[i])
                     end = automaton.run(tokens, i, int(w.first[d + 1]))
-                    if end > 0:
+                    if end > 0 and all(tokens[k] < 0 or w.text(k) == self.names[tokens[k]] for k in range(i, end)):
                         found.setdefault(d, ([], []))[1].append((i, end, label))
         return found
 

@@ -72,13 +72,34 @@ def test_rows(spark):
     assert licenses.licenses(docs.limit(0)).count() == 0
 
 
-def test_full_text():
-    text = [m for label, m in licenses.TEMPLATES if label == "mit-text"][0]
-    plain = re.sub(r"\{\{6\}\}", "the Software", text.replace("[[", "").replace("]]", ""))
+def plain(markup, filler="the Holder"):
+    """A text that follows a template: optional regions written out, replaceable ones filled."""
+    return re.sub(r"\{\{\d+\}\}", filler, markup.replace("[[", "").replace("]]", ""))
+
+
+def labels_of(*texts):
     import pyarrow as pa
 
     from hindcast.llm.textvec import words
 
-    found = licenses.scanner().scan(words(pa.array(["Intro. " + plain, plain.replace("sublicense", "sell")])))
-    assert [x[2] for x in found[0][1]] == ["mit-text"]
-    assert 1 not in found or not found[1][1]
+    found = licenses.scanner().scan(words(pa.array(texts)))
+    return [{x[2] for x in found[d][1]} if d in found else set() for d in range(len(texts))]
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+def test_every_template(k):
+    label, markup = licenses.TEMPLATES[k]
+    text = plain(markup)
+    short = re.sub(r"\s+", " ", re.sub(r"\{\{\d+\}\}", " ", re.sub(r"\[\[[^\[\]]*\]\]", " ", re.sub(r"\[\[[^\[\]]*\]\]", " ", markup)))).strip()
+    whole, least = labels_of("Intro. " + text + " more", short)
+    assert label in whole and label in least
+    spoilt = short.split()
+    spoilt[len(spoilt) // 2] = "spoilt"
+    assert label not in labels_of(" ".join(spoilt))[0]
+
+
+def test_neighbouring_licenses_are_told_apart():
+    by = {label: plain(m) for label, m in licenses.TEMPLATES}
+    two, three, gpl2, gpl3, lgpl = labels_of(by["bsd-2-clause"], by["bsd-3-clause"], by["gpl-2.0-or-later"], by["gpl-3.0-or-later"], by["lgpl-3.0-or-later"])
+    assert two == {"bsd-text", "bsd-2-clause"} and three == {"bsd-text", "bsd-3-clause"}
+    assert "gpl-3.0-or-later" not in gpl2 and "gpl-2.0-or-later" not in gpl3 and not any(x.startswith("gpl") for x in lgpl)
