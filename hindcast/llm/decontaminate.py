@@ -1,15 +1,18 @@
 """Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Seeds are word trigrams of the test items. One pass finds them in every text; hits near one diagonal of an
-item give a window. A window that has too few of the item's words for the score, in whatever order, is
-skipped, which loses nothing: an alignment matches no more words than both sides have in common. So chance
-phrases drop out, while a passage keeps its evidence however often it is copied. Other windows are
-aligned with the item: match +1, mismatch and gap -1. The score is the
-alignment's share of the item's length; a text with a score of LEAST or more holds the item,
-verbatim, edited or in part paraphrased.
-
-Test items are a stated query set. They are read in blocks of at most BLOCK_ITEMS, so what is sent to
-the workers is bounded; the corpus is only ever read in place, without a shuffle of texts. Null and
+Seeds are the rare word trigrams of the test items. A first pass counts every trigram of the items over all
+texts. An item keeps its rarest ones, one more than changed words could spoil in a passage that still has the
+score, so that what is left out, its commonest phrases, is never the only evidence. A second pass finds the
+seeds in every text; hits near one diagonal of an item give a window. A window that has too few of the
+item's words for the score, in whatever order, is skipped, which loses nothing: an alignment matches no more
+words than both sides have in common. Other windows are aligned with the item: match +1, mismatch and gap
+-1. The score is the alignment's share of the item's length; a text with a score of LEAST or more holds the
+item, verbatim, edited or in part paraphrased. A passage in which no three words of the item follow each
+other has no seed and isn't found.
+
+Test items are a stated query set. They are read in blocks of at most BLOCK_ITEMS and BLOCK_BYTES, so what is
+sent to the workers and counted on the driver is bounded; the corpus is only ever read in place, without a
+shuffle of texts, and results don't depend on the blocks. Null and
 empty texts and items give no hits; repeated items are reported each; items of fewer than three words
 match where their words stand consecutively. Texts are read whole. Columns besides doc_id and text
 (item_id and text) are ignored.
@@ -31,8 +34,8 @@ from .textvec import Words, ngrams, words
 
 SEED = 3
 LEAST = 0.5
-BLOCK_ITEMS = 5000
-BLOCK_BYTES = 8 << 20
+BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 
 
 @dataclass
@@ -60,6 +63,39 @@ def prepare(rows: list[tuple[int | None, str | None]]) -> Items:
     return Items([i for i, _ in rows], tokens, all_seeds[order], np.concatenate(owner)[order], np.concatenate(place)[order])
 
 
+def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often each distinct seed of a block stands in all texts; partial sums leave the tasks."""
+    distinct = np.unique(items.seeds)
+    shared = docs.sparkSession.sparkContext.broadcast(distinct)
+
+    def count(batches):
+        total = np.zeros(len(shared.value), dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                total += np.bincount(hits(words(part.column("text")), shared.value)[1], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
+
+    counts = np.zeros(len(distinct), dtype=np.int64)
+    if len(distinct):
+        found = texts(docs).select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+        counts[found.column("seed").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def rarest(items: Items, counts: np.ndarray) -> Items:
+    """The block with the rarest seeds of each item: one more than so many changed words could spoil as leave the score in reach."""
+    n = counts[np.searchsorted(np.unique(items.seeds), items.seeds)] if len(items.seeds) else counts
+    order = np.lexsort((items.place, items.seeds, n, items.owner))
+    owner = items.owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    length = np.array([len(t) for t in items.tokens], dtype=np.int64)
+    # a changed word is one match less and one mismatch more, and spoils SEED trigrams at most
+    spoilt = SEED * np.floor((1 - LEAST) / 2 * length + 1e-9).astype(np.int64)
+    kept = np.sort(order[rank <= spoilt[owner]]) if len(owner) else order
+    return Items(items.ids, items.tokens, items.seeds[kept], items.owner[kept], items.place[kept])
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """Test items in bounded blocks."""
     block, size = [], 0
@@ -161,7 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item that it holds."""
     spark, out = docs.sparkSession, None
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(prepare(block))
+        items = prepare(block)
+        shared = spark.sparkContext.broadcast(rarest(items, seed_counts(docs, items)))
 
         def scan(part: pa.RecordBatch, shared=shared) -> dict | None:
             w = words(part.column("text"))
@@ -189,9 +226,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a test item go; all others stay as they are."""
-    names, schema = docs.columns, docs.schema
+    names, schema, every = docs.columns, docs.schema, docs
     for block in blocks(table(spark, sf_dir, "benchmark")):
-        shared = spark.sparkContext.broadcast(prepare(block))
+        items = prepare(block)
+        shared = spark.sparkContext.broadcast(rarest(items, seed_counts(every, items)))
 
         def run(batches, shared=shared):
             for batch in batches:

@@ -79,3 +79,42 @@ def test_edited_copy_that_is_repeated(spark):
     found = decontaminate.leaks(table, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want
     assert all(r.score >= 0.5 for r in found)
+
+
+def test_rarest_seeds():
+    rows = [(0, " ".join(f"a{i}" for i in range(12))), (1, "x y z"), (2, None)]
+    items = decontaminate.prepare(rows)
+    distinct = np.unique(items.seeds)
+    counts = np.zeros(len(distinct), dtype=np.int64)
+    common = items.seeds[(items.owner == 0) & (items.place == 4)]
+    counts[np.searchsorted(distinct, common)] = 1000
+    kept = decontaminate.rarest(items, counts)
+    # of 10 trigrams of 12 words, three changed words spoil 9 at most; all 10 stay, or 9 + 1
+    assert (kept.owner == 0).sum() == 10 and (kept.owner == 1).sum() == 1
+    rows = [(0, " ".join(f"a{i}" for i in range(42)))]
+    items = decontaminate.prepare(rows)
+    counts = np.zeros(40, dtype=np.int64)
+    counts[np.searchsorted(np.unique(items.seeds), items.seeds[items.place >= 31])] = 7
+    kept = decontaminate.rarest(items, counts)
+    assert len(kept.seeds) == 31 and kept.place.max() <= 31 + 9 and set(range(31)) <= set(kept.place.tolist())
+
+
+def test_stage_does_not_depend_on_blocks(spark, monkeypatch):
+    items, docs, want = make(np.random.default_rng(9))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)] + [(900, None, None, None, None), (901, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(decontaminate, "table", lambda *a: bench)
+    left = []
+    for size in (5, 20_000):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        left.append({r.doc_id for r in decontaminate.keep_unleaked(spark, frame, "").collect()})
+    assert left[0] == left[1] == (set(range(len(docs))) - set(want)) | {900, 901}
+
+
+def test_repeated_rows_and_a_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    long = "w " * 200_000 + item + " v" * 200_000
+    docs = spark.createDataFrame([(1, "a " + item), (1, "a " + item), (None, long), (3, None)], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.item_id, r.score, r.first_word) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert found == sorted([(1, 1, 1.0, 1)] * 4 + [(None, 1, 1.0, 200_000)] * 2, key=str)
