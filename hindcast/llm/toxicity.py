@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Fit: labelled rows outside the held-out fold, at most MAX_LABELLED of them (the smallest by a hash of
-doc_id, a third of them toxic if there are enough; documented bound). The
-logistic map weights the classes by their counts among all usable labels, so the cut is alike at every size. Copies of one text count once.
+Fit: labelled rows outside the held-out fold, at most MAX_LABELLED of them and MAX_BYTES of their texts (the
+smallest by a hash of doc_id, a third of them toxic if there are enough; documented bounds). The
+logistic map weights the classes by their counts among all usable labels, so the cut is alike at every size.
+Copies and near copies of a text within a class count once.
 Document counts of tokens by class give each token a log-odds ratio with a Dirichlet prior (PRIOR
 pseudo-counts in proportion to the pooled counts, and FLAT for every token); tokens whose likelihood
 ratio is significant keep it, all others get a drift that makes the expected score of clean text
@@ -40,6 +41,7 @@ from .textvec import Words, mix, ngrams, words
 
 FOLDS = 5
 MAX_LABELLED = 6000
+MAX_BYTES = 64 << 20
 MAX_TOKENS = 50_000
 PRIOR, FLAT = 500.0, 0.5
 LEAST_RATIO = 18.0
@@ -146,17 +148,25 @@ def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int) -> tuple[dict[int
     return dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:MAX_TOKENS]), other
 
 
+SKETCH, COPY = 8, 6
+
+
 def distinct(rows: list[tuple[int, str | None, int]]) -> list[tuple[list, int, int]]:
-    """Tokens, numbers of words and labels of rows without near copies: a row goes if it shares one of a few least word triples with an earlier one of its class."""
-    seen: set[tuple[int, int]] = set()
+    """Tokens, numbers of words and labels of rows without near copies: a row goes if COPY of SKETCH least word triples are those of one earlier row of its class.
+
+    Rows that share a passage, but not most of their triples, stay.
+    """
+    seen: dict[tuple[int, int, int], list[int]] = {}
     out = []
-    for _, text, label in rows:
+    for i, (_, text, label) in enumerate(rows):
         w = words(pa.array([text], pa.string()))
         h, _ = ngrams(w.hash, w.first, min(3, max(len(w), 1)))
-        keys = [(label, int(mix(h ^ np.uint64(s)).min())) for s in range(1, 7)] if len(h) else [(label, 0)]
-        if not any(k in seen for k in keys):
+        keys = [(label, s, int(mix(h ^ np.uint64(s + 1)).min()) if len(h) else 0) for s in range(SKETCH)]
+        shared = Counter(j for k in keys for j in seen.get(k, ()))
+        if not shared or max(shared.values()) < COPY:
             out.append((word_tokens(w), len(w), label))
-        seen.update(keys)
+            for k in keys:
+                seen.setdefault(k, []).append(i)
     return out
 
 
@@ -236,17 +246,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     picked = []
     for label, share in ((0, most - most // 3), (1, most // 3)):
         picked += [tuple(r) for r in usable.where(F.col("toxic") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(share).collect()]
-    # the sample's shares of the classes are bounded apart; weights restore those of all usable labels
-    totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    taken = Counter(y for _, y in picked)
-    weights = tuple(totals.get(y, 0) / taken[y] * len(picked) / sum(totals.values()) if taken[y] else 1.0 for y in (0, 1))
     both = Counter(i for i, _ in picked)
     ids = spark.createDataFrame([(i, y) for i, y in picked if both[i] == 1], "doc_id long, toxic int")
     rows = texts(docs).join(F.broadcast(ids), "doc_id")  # at most `most` ids
     # one text for each labelled id, so that the sample stays bounded however often an id repeats
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-
-    return fit([(r.doc_id, r.text, r.toxic) for r in rows.toLocalIterator()], weights)
+    sample, size = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(r.text or "")
+        if sample and size > MAX_BYTES:
+            break
+        sample.append((r.doc_id, r.text, r.toxic))
+    # the sample's shares of the classes are bounded apart; weights restore those of all usable labels
+    totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    taken = Counter(y for *_, y in sample)
+    weights = tuple(totals.get(y, 0) / taken[y] * len(sample) / sum(totals.values()) if taken[y] else 1.0 for y in (0, 1))
+    return fit(sample, weights)
 
 
 _SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, passages string"

@@ -79,3 +79,49 @@ def test_bounded_sample_keeps_the_class_share(spark):
     mean = lambda model: np.mean([r.score for r in toxicity.toxicity(docs, model).collect()])
     assert mean(toxicity.train(docs, labels)) == pytest.approx(0.1, abs=0.03)
     assert mean(toxicity.train(docs, labels, 600)) == pytest.approx(0.1, abs=0.03)
+
+
+def test_scores_against_plain_python(spark):
+    """Words, their strongest tokens, segments by definition, tail probabilities and their sum, without the operator's arrays."""
+    import math
+    import re
+
+    from hindcast.llm.textvec import WORD, hash_words, mix
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(200):
+        t = list(rng.choice([f"calm{k}" for k in range(300)], 25))
+        if i % 4 == 0:
+            t[5:5] = list(rng.choice(["idiots", "scumbag", "vermin"], 3))
+        rows.append((i, " ".join(t), int(i % 4 == 0)))
+    docs = spark.createDataFrame([*rows, (900, "Scumbag! vermin, É idiotically calm1", 0), (901, None, 0)], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.where("doc_id < 200").select("doc_id", "toxic"))
+    weight = dict(zip(model.tokens.tolist(), model.weights.tolist(), strict=True))
+
+    def plain(text):
+        w = [x.encode() for x in re.findall(WORD, (text or "").lower())]
+        scores = []
+        for x in w:
+            own = [int(hash_words([x.decode()])[0])] + [int(mix(hash_prefix(x[:n]) + np.uint64(n))[0]) for n in toxicity.PREFIXES if len(x) > n]
+            scores.append(max([weight[t] for t in own if t in weight], default=model.other))
+        found = [model.evidence(s, len(w)) for *_, s in brute_segments(scores)]
+        evidence = max(sum(e for e in found if e > toxicity.SIGNIFICANT), max(found, default=0.0))
+        return model.score(math.log1p(evidence))
+
+    def hash_prefix(data):
+        from hindcast.llm.textvec import spans_hash
+
+        return spans_hash(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    assert got == pytest.approx({r.doc_id: plain(r.text) for r in docs.collect()}, abs=1e-9)
+    assert got[900] > 0.5 > got[1]
+
+
+def test_texts_that_share_a_passage_stay_in_the_sample():
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(60)), 0) for i in range(20)]
+    assert len(toxicity.distinct(rows)) == 20
+    assert len(toxicity.distinct([*rows, *((50 + i, t + " more", 0) for i, t, _ in rows)])) == 20
+    assert len(toxicity.distinct([*rows, *((50 + i, t, 1) for i, t, _ in rows)])) == 40
