@@ -34,7 +34,7 @@ from .common import drop, pick, stored, table
 
 SIMILARITY = 0.8
 OVERLAP = SIMILARITY / (1 + SIMILARITY)  # of the sum of two sizes, which similar sets have in common at least
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REST = (1 << 31) - 1
@@ -56,7 +56,7 @@ def place() -> F.Column:
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line, name, name2, tokens) of each line with tokens: its distinct words as 31-bit hashes, and two hashes of their 64-bit ones."""
+    """(doc_id, key, line, name, name2, tokens) of each line with tokens: 31 bits of the hashes of its distinct words, in the order of the whole hashes, and two hashes of all of those."""
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     hashed = F.sort_array(F.array_distinct(F.transform(line_words(F.col("content")), lambda w: F.xxhash64(w))))
     sets = lines.select("doc_id", "key", "line", hashed.alias("hashes")).where(F.size("hashes") > 0)
@@ -65,12 +65,12 @@ def line_sets(docs: DataFrame) -> DataFrame:
 
 
 def rarity(sets: DataFrame) -> F.Column:
-    """Classes of the buckets as a literal, a byte each: of one size, whatever the corpus."""
+    """Classes of the buckets as a literal array, a small number each: of one size, whatever the corpus."""
     counts = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    classes = bytearray(BUCKETS)
+    classes = [0] * BUCKETS
     for b, c in counts.select("b", F.least(F.lit(127), (F.log2("n") * 4).cast("int"))).collect():  # one row for each bucket at most
         classes[b] = c
-    return F.lit(classes)
+    return F.from_json(F.lit(str(classes)), "array<bigint>")  # folded to a constant by the optimizer
 
 
 def prefix_size(size: F.Column, least: F.Column) -> F.Column:
@@ -80,13 +80,12 @@ def prefix_size(size: F.Column, least: F.Column) -> F.Column:
 
 def described(sets: DataFrame, classes: F.Column) -> DataFrame:
     """One row for each set: name, place of its first line, size, parity map, sketch keys, and prefix, the rarest tokens."""
-    place_of = lambda t: F.ascii(F.substr(classes, t.bitwiseAND(BUCKETS - 1) + 1, F.lit(1)).cast("string"))
-    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(place_of(t).cast("long"), 31).bitwiseOR(t)))
+    ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(classes[t.bitwiseAND(BUCKETS - 1)], 31).bitwiseOR(t)))
     size = F.size("tokens")
     rows = sets.select(
         "name", "name2", "doc_id", "key", "line", size.alias("size"),
         F.aggregate("tokens", F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63)))).alias("map"),
-        F.xxhash64(F.slice(F.sort_array("tokens"), 1, 2)).alias("low"), F.xxhash64(F.slice(F.sort_array("tokens"), -2, 2)).alias("high"),
+        F.xxhash64(F.slice("tokens", 1, 2)).alias("low"), F.xxhash64(F.slice("tokens", F.greatest(F.lit(1), size - 1), F.lit(2))).alias("high"),
         F.transform(F.slice(ordered, F.lit(1), prefix_size(size, size * SIMILARITY)), lambda t: t.bitwiseAND(REST).cast("int")).alias("prefix"),
     )
     first = [F.first(c).alias(c) for c in ("size", "map", "low", "high", "prefix")]
@@ -97,7 +96,12 @@ def alike(a: str, b: str) -> F.Column:
     """Length filter and parity map, for sets that differ in d tokens at most."""
     both = F.col(f"{a}size") + F.col(f"{b}size")
     apart = both - 2 * F.ceil(both * OVERLAP - 1e-9)
-    return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILARITY - 1e-9) & (F.bit_count(F.col(f"{a}map").bitwiseXOR(F.col(f"{b}map"))) <= apart)
+    return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILARITY - 1e-9) & (differing(a, b) <= apart)
+
+
+def differing(a: str, b: str) -> F.Column:
+    """Bits in which two parity maps differ."""
+    return F.bit_count(F.col(f"{a}map").bitwiseXOR(F.col(f"{b}map")))
 
 
 def rank() -> F.Column:
@@ -107,24 +111,28 @@ def rank() -> F.Column:
 
 
 def family_pairs(firsts: DataFrame) -> DataFrame:
-    """(a, b, later): sets b against the earliest set a with one of their sketch keys, where both may be similar."""
+    """(a, b, bits, later): sets b against the earliest set a with one of their sketch keys, where both may be similar."""
     rows = firsts.where("size > 3").select("id", "size", "map", rank().alias("rank"), F.explode(F.array("low", "high")).alias("sketch"))
     of = [F.min_by(c, "rank").alias(f"h_{c}") for c in ("id", "size", "map", "rank")]
     heads = rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), *of).where("n > 1").drop("n")
     met = rows.join(heads, "sketch").where((F.col("id") != F.col("h_id")) & alike("", "h_"))
-    return met.select(F.col("h_id").alias("a"), F.col("id").alias("b"), (F.col("h_rank") < F.col("rank")).alias("later")).distinct()
+    return met.select(F.col("h_id").alias("a"), F.col("id").alias("b"), differing("", "h_").alias("bits"), (F.col("h_rank") < F.col("rank")).alias("later")).distinct()
 
 
-def posted_pairs(sets: DataFrame, left: str, right: str) -> DataFrame:
-    """(a, b): sets of state `left` with larger ones (or as large) of state `right` that share a posted token, where both may be similar."""
-    rows = sets.where("size > 3").select("id", "size", "map", "state", F.posexplode("prefix").alias("at", "token"))
-    # of the smaller set of a pair fewer tokens will do
-    x = rows.where(left).where(F.col("at") < prefix_size(F.col("size"), F.col("size") * 2 * OVERLAP)).select("token", *(F.col(c).alias(f"l_{c}") for c in ("id", "size", "map", "at")))
-    y = rows.where(right).select("token", *(F.col(c).alias(f"r_{c}") for c in ("id", "size", "map", "at")))
+def posted_pairs(sets: DataFrame, late: int) -> DataFrame:
+    """(a, b, bits): sets of state `late` with all sets that share a posted token, where both may be similar.
+
+    The smaller set of a pair needs fewer tokens, which spares a third of the rows; sets of another state don't meet
+    each other, so theirs have all tokens on the one side.
+    """
+    rows = sets.where("size > 3").select("id", "size", "map", (F.col("state") != late).alias("other"), F.posexplode("prefix").alias("at", "token"))
+    fewer = F.col("at") < prefix_size(F.col("size"), F.col("size") * 2 * OVERLAP)
+    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("id", "size", "map", "at", "other")))
+    x, y = side(rows.where(F.col("other") | fewer), "l"), side(rows.where(~F.col("other")), "r").drop("r_other")
     rest = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
-    filters = (F.col("l_size") <= F.col("r_size")) & (F.col("l_id") != F.col("r_id")) & alike("l_", "r_") & (rest >= F.ceil((F.col("l_size") + F.col("r_size")) * OVERLAP - 1e-9))
+    filters = (F.col("l_other") | (F.col("l_size") <= F.col("r_size"))) & (F.col("l_id") != F.col("r_id")) & alike("l_", "r_") & (rest >= F.ceil((F.col("l_size") + F.col("r_size")) * OVERLAP - 1e-9))
     met = x.join(y, (x.token == y.token) & filters)
-    return met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
+    return met.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), differing("l_", "r_").alias("bits")).distinct()
 
 
 def similar() -> F.Column:
@@ -156,6 +164,34 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[Data
     return found, path
 
 
+def later_sets(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Ids of sets that are the later ones of a similar pair among candidate pairs (a, b, bits).
+
+    One match settles a set: each is held against the candidate whose map differs least first, and only those
+    that this doesn't settle against the others. Pairs of lines of one doc_id, whose order only the lines'
+    places tell, are all verified at once.
+    """
+    ranks = firsts.select("id", rank().alias("rank"))
+    side = lambda c: ranks.select(F.col("id").alias(c), F.col("rank").alias(f"rank_{c}"))
+    first = F.col("rank_a") < F.col("rank_b")
+    ordered = pairs.join(side("a"), "a").join(side("b"), "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "bits",
+        (F.shiftright("rank_a", 20) != F.shiftright("rank_b", 20)).alias("certain"),
+    )
+    ordered, p_ordered = stored(ordered)
+    best = ordered.where("certain").groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
+    best, p_best = stored(best.union(ordered.where("not certain").select("a", "b")))
+    settled, p_settled = verified(best, firsts, docs)
+    rest = ordered.where("certain").select("a", "b").join(settled.select(F.col("id").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    rest, p_rest = stored(rest.select("a", "b"))
+    paths = [p_settled]
+    if not rest.isEmpty():
+        more, p_more = verified(rest, firsts, docs)
+        settled, paths = settled.union(more).distinct(), [*paths, p_more]
+    drop(docs.sparkSession, p_ordered, p_best, p_rest)
+    return settled, paths
+
+
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """(doc_id, key, line) of all lines with an earlier match, and the stored tables it reads. docs has doc_id, key and text."""
     spark = docs.sparkSession
@@ -167,20 +203,19 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     held = family.where("later").select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1))
     open_or_held = firsts.select("id", "size", "map", "prefix").join(held, "id", "left").withColumn("state", F.coalesce("state", F.lit(0)))
     # pairs of two sets that are held as settled are left out
-    made = posted_pairs(open_or_held, "true", "state = 0").union(posted_pairs(open_or_held, "state = 0", "state = 1"))
-    pairs, p_pairs = stored(made.union(family.select(F.least("a", "b"), F.greatest("a", "b"))).distinct())
-    gone, p_gone = verified(pairs, firsts, docs)
+    made = posted_pairs(open_or_held, 0).union(family.select(F.least("a", "b"), F.greatest("a", "b"), "bits"))
+    pairs, p_pairs = stored(made.distinct())
+    gone, p_gone = later_sets(pairs, firsts, docs)
     wrong, p_wrong = stored(held.join(gone, "id", "left_anti").select("id", F.lit(2).alias("state")))
     drop(spark, p_pairs)
-    paths = [p_names, p_firsts, p_gone]
+    paths = [p_names, p_firsts, *p_gone]
     if not wrong.isEmpty():
         states = held.join(wrong.select("id", F.lit(2).alias("is")), "id", "left").select("id", F.coalesce("is", "state").alias("state"))
         left_out = firsts.select("id", "size", "map", "prefix").join(states, "id")
-        made = posted_pairs(left_out, "true", "state = 2").union(posted_pairs(left_out, "state = 2", "state = 1"))
-        pairs, p_pairs = stored(made.distinct())
-        more, p_more = verified(pairs, firsts, docs)
+        pairs, p_pairs = stored(posted_pairs(left_out, 2))
+        more, p_more = later_sets(pairs, firsts, docs)
         drop(spark, p_pairs)
-        gone, paths = gone.union(more).distinct(), [*paths, p_more]
+        gone, paths = gone.union(more).distinct(), [*paths, *p_more]
     drop(spark, p_family, p_wrong)
     # a set with an earlier match loses all its lines, any other all but its first
     told = firsts.select("id", "name", "name2", place().alias("first")).join(gone.withColumn("gone", F.lit(True)), "id", "left")

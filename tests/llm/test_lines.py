@@ -73,7 +73,7 @@ def test_what_was_held_wrongly_is_made_up_for(spark, monkeypatch):
 
     def every(firsts):
         head = firsts.select("id").limit(1).collect()[0].id
-        return made(firsts).union(firsts.where(firsts.id != head).selectExpr(f"{head}L AS a", "id AS b", "true AS later")).distinct()
+        return made(firsts).union(firsts.where(firsts.id != head).selectExpr(f"{head}L AS a", "id AS b", "0 AS bits", "true AS later")).distinct()
 
     monkeypatch.setattr(lines, "family_pairs", every)
     docs = make(3)
