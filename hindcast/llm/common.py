@@ -33,7 +33,9 @@ def ensure_shared(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which survives the loss of executors."""
     ensure_shared(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:

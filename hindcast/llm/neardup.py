@@ -1,10 +1,12 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Signature: words are shingled by three; repeats of a shingle are labelled by their occurrence number.
+Signature: words are shingled by five; repeats of a shingle are labelled by their occurrence number.
 Each of BANDS hash functions picks the SAMPLE least labelled shingles of a document and keeps them in
 text order, so equal picks need common content in a common order: the chance follows edit similarity.
-Texts of at most SHORT words have all subsequences that leave out a fifth of their words at most as keys,
-which finds every pair of them; shingles of such texts don't survive the edits.
+Few shingles of a text of some dozen words survive the edits that the similarity allows, so texts of at
+most MIDDLE words have picks of shingles of three words too, and texts of at most SHORT words have all
+subsequences that leave out a fifth of their words at most, which finds every pair of them. The ranges
+overlap so far that similar texts always have a kind of keys in common.
 
 Candidates: documents that share a pick. Equal texts are one node from the start. Links are verified
 by banded alignment of the word sequences: similarity 1 - distance / longer length, 0.8 or more.
@@ -13,9 +15,9 @@ different groups, against the least node of each bucket, which joins up groups o
 a linear number of pairs. Then nodes that share a bucket and are still in
 different groups are held against each other. In buckets of more than SMALL nodes an exact filter names
 the pairs: texts that are alike differ in at most a fifth of the longer one's words, so in whatever
-common order of words, the first fifth (and one more) of their words have one in common. The order is by
-rarity among the nodes in question, so that a passage which many texts share names no pairs. Groups are
-connected components.
+common order of words, the first fifth (and one more) of their words have one in common, and the first
+fifth and FURTHER more have so many. The order is by rarity among the nodes in question, so that a passage
+which many texts share names no pairs. Both are tested as pairs are made. Groups are connected components.
 
 Nothing is gathered in a task by bucket: buckets are join keys, hot ones are split by adaptive
 execution. Null and empty texts are copies of each other as equal texts only; texts of fewer than five
@@ -24,6 +26,7 @@ words match when their words are equal; repeated rows fall in one class; other c
 
 from __future__ import annotations
 
+import functools
 from functools import lru_cache
 from itertools import combinations
 
@@ -37,33 +40,48 @@ from .common import cut, drop, map_slices, pick, slices, stored, table, texts
 from .components import components
 from .textvec import mix, ngrams, words
 
-SHINGLE = 3
-SIMILARITY = 0.8
-BANDS = 48
+SHINGLE, BANDS = 5, 80
+SHORT_SHINGLE, SHORT_BANDS = 3, 48
 SAMPLE = 2
+SIMILARITY = 0.8
 SHORT, MIXED = 14, 12
+MIDDLE, LONG = 125, 100
 SMALL = 24
 BINS = 1 << 17
+FURTHER, KIN = 12, 8
+PASSES = 8  # over the words of large buckets, each with its part of what is shuffled
 
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def order_picks(shingles: np.ndarray) -> np.ndarray:
-    """The picks of all bands for the shingles of one text, in text order."""
-    n = len(shingles)
-    order = np.argsort(shingles, kind="stable")
-    ranked = shingles[order]
+def labelled(values: np.ndarray) -> np.ndarray:
+    """Hashes of values with repeats told apart by their occurrence number, so that shared elements count as in multisets."""
+    n = len(values)
+    if not n:
+        return values
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
     fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     occurrence = np.empty(n, dtype=np.uint64)
     occurrence[order] = (np.arange(n) - np.repeat(fresh, np.diff(np.append(fresh, n)))).astype(np.uint64)
-    labelled = mix(shingles + occurrence * np.uint64(0xA0761D6478BD642F))
-    values = (labelled[None, :] ^ _SEEDS[:BANDS, None]) * (_SEEDS[BANDS:, None] | np.uint64(1))
-    take = min(SAMPLE, n)
-    picked = np.argpartition(values, take - 1, axis=1)[:, :take] if n > take else np.tile(np.arange(n), (BANDS, 1))
-    picked.sort(axis=1)
-    key = _SEEDS[:BANDS].copy()
-    for k in range(take):
-        key = mix(key * np.uint64(0x9FB21C651E98DF25) + labelled[picked[:, k]])
+    return mix(values + occurrence * np.uint64(0xA0761D6478BD642F))
+
+
+def order_picks(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The picks of all bands for the shingles of one text, in text order."""
+    n = len(shingles)
+    own = labelled(shingles)
+    # an order of the shingles for each band: 32 bits are enough to compare, the key has all 64
+    flip = (_SEEDS[:bands] >> np.uint64(32)).astype(np.uint32)
+    scale = (_SEEDS[BANDS : BANDS + bands] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    values = ((own >> np.uint64(32)).astype(np.uint32)[None, :] ^ flip[:, None]) * scale[:, None]
+    rows, picked = np.arange(bands), []
+    for _ in range(min(SAMPLE, n)):
+        picked.append(values.argmin(axis=1))
+        values[rows, picked[-1]] = np.iinfo(np.uint32).max
+    key = _SEEDS[:bands] + np.uint64(bands)
+    for at in np.sort(np.stack(picked), axis=0):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + own[at])
     return key
 
 
@@ -86,10 +104,12 @@ def short_keys(own: np.ndarray) -> np.ndarray:
 
 
 def text_keys(own: np.ndarray) -> np.ndarray:
-    """All keys of the words of one text; similar texts of up to SHORT and of more words have MIXED words at least."""
-    keys = [short_keys(own)] if 0 < len(own) <= SHORT else []
-    if len(own) >= MIXED:
-        keys.append(order_picks(ngrams(own, np.array([0, len(own)]), SHINGLE)[0]))
+    """All keys of the words of one text."""
+    n = len(own)
+    keys = [short_keys(own)] if 0 < n <= SHORT else []
+    for least, most, shingle, bands in ((MIXED, MIDDLE, SHORT_SHINGLE, SHORT_BANDS), (LONG, n, SHINGLE, BANDS)):
+        if least <= n <= most:
+            keys.append(order_picks(ngrams(own, np.array([0, n]), shingle)[0], bands))
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
@@ -158,74 +178,103 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
     return cut(every.select("a", "b").distinct())
 
 
-def labelled_words(own: np.ndarray) -> np.ndarray:
-    """Words with repeats told apart, so that shared elements count as in multisets."""
-    order = np.argsort(own, kind="stable")
-    ranked = own[order]
-    fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(own) else np.zeros(0, np.int64)
-    occurrence = np.arange(len(own)) - np.repeat(fresh, np.diff(np.append(fresh, len(own))))
-    return mix(ranked + occurrence.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def fifth(size: str) -> F.Column:
+    """Words of so long a text that an edit may have touched at most."""
+    return F.floor((1 - SIMILARITY) * F.col(size) + 1e-9).cast("int")
 
 
 def rare_words(named: DataFrame) -> DataFrame:
-    """(node, word): the rarest words of each text, one of which texts that are alike have in common.
+    """(node, words): the rarest words of each text, rarest first, a fifth and FURTHER more of them, repeats told apart.
 
     Rarity is counted in BINS bins of word hashes, which is all that is sent around; the filter is exact in any order.
     """
 
+    def own_words(part: pa.RecordBatch) -> list[np.ndarray]:
+        w = words(part.column("text"))
+        return [labelled(w.hash[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+
+    def bins(h: np.ndarray) -> np.ndarray:
+        return (h % np.uint64(BINS)).astype(np.int64)
+
     def count(batches):
         total = np.zeros(BINS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
-                w = words(part.column("text"))
-                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-                    total += np.bincount((labelled_words(w.hash[a:b]) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                for h in own_words(part):
+                    np.add.at(total, bins(h), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bin", "n"])
 
     counts = np.zeros(BINS, dtype=np.int64)
-    for i, n in named.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect():
+    for i, n in named.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n")).toLocalIterator():
         counts[i] = n
     shared = named.sparkSession.sparkContext.broadcast(counts)
 
     def column(part: pa.RecordBatch) -> dict:
-        w = words(part.column("text"))
         found = []
-        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-            h = labelled_words(w.hash[a:b])
-            order = np.lexsort((h, shared.value[(h % np.uint64(BINS)).astype(np.int64)]))
-            found.append(h[order[: int((1 - SIMILARITY) * len(h) + 1e-9) + 1]].view(np.int64))
+        for h in own_words(part):
+            order = np.lexsort((h, shared.value[bins(h)]))
+            found.append((h[order[: int((1 - SIMILARITY) * len(h) + 1e-9) + FURTHER]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
         return {"node": part.column("node"), "words": found}
 
-    made = map_slices(named, column, "node binary, words array<long>", pa.schema([("node", pa.binary()), ("words", pa.list_(pa.int64()))]))
-    return made.select("node", F.explode("words").alias("word"))
+    return map_slices(named, column, "node binary, words array<int>", pa.schema([("node", pa.binary()), ("words", pa.list_(pa.int32()))]))
 
 
 def split_pairs(members: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """As bucket_pairs, for large buckets: pairs that also share one of their rarest words; None without any such bucket."""
+    """As bucket_pairs, for large buckets: pairs that also share so many of their rarest words as they must; None without any such bucket.
+
+    What meets are ends: groups of up to KIN nodes, with the words of all of them, and single nodes of larger
+    groups. Ends of larger groups meet those of other groups alone, so that a group of any size is never paired
+    with itself. A pair of ends comes out once, at the least word in common; then their nodes are tested.
+    """
     mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     members = cut(members.join(mixed, "key"))
     if members.isEmpty():
         return None
     nodes, p_nodes = stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("root").alias("root"), F.collect_set("key").alias("keys")))
+    kin = nodes.groupBy("root").agg((F.count(F.lit(1)) > KIN).alias("large"))
     named = docs.select(node_column().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     text, p_text = stored(pick(named, nodes).groupBy("node").agg(F.first("text").alias("text")))
-    rows = cut(rare_words(text).join(nodes.select("node", "root"), "node"))
-    # groups that share a word are paired first, so that a group of any size is never paired with itself
-    by_root = rows.select("word", "root").distinct()
-    several = by_root.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
-    rows = cut(rows.join(several, "word"))
-    by_root = cut(rows.select("word", "root").distinct())
-    both = by_root.select("word", F.col("root").alias("root_a")).join(by_root.select("word", F.col("root").alias("root_b")), "word").where("root_a < root_b")
-    x = rows.select("word", F.col("root").alias("root_a"), F.col("node").alias("a"))
-    y = rows.select("word", F.col("root").alias("root_b"), F.col("node").alias("b"))
-    pairs = cut(both.join(x, ["word", "root_a"]).join(y, ["word", "root_b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("keys").alias(f"keys_{c}"))
-    out = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near("size_a", "size_b") & F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
-    drop(docs.sparkSession, p_nodes, p_text)
+    # words are compared by 32 bits here, which may take two for one: so one less is asked for
+    need = F.greatest(F.least(F.lit(FURTHER - 1), F.col("size") - fifth("size") - 1), F.lit(1))
+    rare = rare_words(text).join(nodes.select("node", "root", "size"), "node").join(kin, "root")
+    rare, p_rare = stored(rare.select("*", need.alias("need"), F.when(F.col("large"), F.col("node")).otherwise(F.col("root")).alias("end")))
+    # at most KIN nodes, or one, stand behind an end
+    ends = rare.groupBy("end").agg(F.first("root").alias("root"), F.first("large").alias("large"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("bag"), F.min("need").alias("need"), F.min("size").alias("low"), F.max("size").alias("high"))
+    ends, p_ends = stored(ends)
+    found = [ends_met(ends.withColumn("bag_of", F.filter("bag", lambda w: F.pmod(w, F.lit(PASSES)) == i))) for i in range(PASSES)]
+    met = functools.reduce(DataFrame.union, found)
+    side = lambda c: rare.select(F.col("end").alias(f"end_{c}"), F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("words", "need", "size")))
+    enough = F.size(F.array_intersect("words_a", "words_b")) >= F.least("need_a", "need_b")
+    x, y = met.join(side("a"), "end_a"), side("b")
+    pairs = cut(x.join(y, (x.end_b == y.end_b) & near("size_a", "size_b") & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    keys = lambda c: nodes.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"))
+    out = cut(pairs.join(keys("a"), "a").join(keys("b"), "b").where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
+    drop(docs.sparkSession, p_nodes, p_text, p_rare, p_ends)
     return out
 
 
+def ends_met(ends: DataFrame) -> DataFrame:
+    """Pairs of ends (end_a, end_b) whose least word in common is among bag_of, and that have as many in common as they need."""
+    # the least words of each tell cheaply, for most of the words in common, that there is a lesser one
+    posted = ends.select("*", F.slice("bag", 1, 16).alias("head"), F.explode("bag_of").alias("word")).drop("bag_of")
+    several = posted.groupBy("word").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).where("least != greatest").select("word")
+    posted = posted.join(several, "word")
+    x, y = (posted.select("word", *(F.col(k).alias(f"{k}_{c}") for k in ("end", "root", "large", "bag", "head", "need", "low", "high"))) for c in "ab")
+    common = F.array_intersect("bag_a", "bag_b")
+    long_enough = (F.col("high_a") >= SIMILARITY * F.col("low_b") - 1e-9) & (F.col("high_b") >= SIMILARITY * F.col("low_a") - 1e-9)
+    least = F.coalesce(F.array_min(F.array_intersect("head_a", "head_b")) >= F.col("at"), F.lit(True))
+    passes = long_enough & least & (F.size(common) >= F.least("need_a", "need_b")) & (F.col("at") == F.array_min(common))
+    x = x.withColumnRenamed("word", "at")
+    small = x.where("not large_a").join(y, (F.col("at") == y.word) & F.when(F.col("large_b"), F.col("root_a") != F.col("root_b")).otherwise(F.col("root_a") < F.col("root_b")) & passes)
+    # larger groups that share words, then their nodes by those words
+    shared = posted.where("large").select("word", "root").distinct()
+    both = shared.withColumnRenamed("root", "root_a").join(shared.withColumnRenamed("root", "root_b"), "word").where("root_a < root_b").withColumnRenamed("word", "at")
+    large = both.join(x.where("large_a"), ["at", "root_a"]).withColumnRenamed("root_b", "other")
+    large = large.join(y, (F.col("at") == y.word) & (F.col("other") == y.root_b) & y.large_b & passes)
+    return cut(small.select("end_a", "end_b").union(large.select("end_a", "end_b")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(node, root) of all nodes with a verified link, one root for each group of near duplicates."""
     docs = texts(docs)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from hindcast.llm import alignment, neardup
 from hindcast.llm.components import components
-from hindcast.llm.textvec import ngrams, words
+from hindcast.llm.textvec import words
 
 
 def plain_distance(a, b):
@@ -149,7 +149,7 @@ def test_boilerplate_family(spark):
     distances = alignment.edit_distances([(hashed[i], hashed[j]) for i, j in pairs], limits)
     alike = [p for p, d, limit in zip(pairs, distances, limits, strict=True) if d <= limit]
     assert len(alike) == 60
-    picks = [set(neardup.order_picks(ngrams(h, np.array([0, len(h)]), neardup.SHINGLE)[0]).tolist()) for h in hashed]
+    picks = [set(neardup.text_keys(h).tolist()) for h in hashed]
     want = {(i, j) for i, j in alike if picks[i] & picks[j]}
     assert len(want) > 30
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
@@ -173,3 +173,49 @@ def test_lone_pairs_of_low_similarity(spark):
     found = [got[i + 1] == got[i] == i for i in range(0, len(texts), 2)]
     assert all(f for f, t in zip(found, texts[::2], strict=True) if len(t) <= neardup.SHORT)
     assert np.mean(found) >= 0.97
+
+
+def test_long_texts(spark):
+    """Texts of 30,000 words that differ in some hundred words are held against each other whole."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 30_000)]
+    near, far = list(base), list(base)
+    for i in rng.choice(30_000, 300, replace=False).tolist():
+        near[i] = "edit"
+    for i in rng.choice(30_000, 9_000, replace=False).tolist():
+        far[i] = "other"
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((base, near, far))], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_families_in_large_buckets_are_joined_up(spark):
+    """A passage that most of each text consists of, in many texts: groups, lone texts and pairs, against all alignments."""
+    rng = np.random.default_rng(17)
+    shared, vocabulary = [f"s{i}" for i in range(90)], [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(vocabulary, 30))
+        texts.append(shared + own)
+        for _ in range(int(rng.integers(0, 3))):
+            other = list(own)
+            for k in rng.choice(30, int(rng.integers(6, 26)), replace=False).tolist():
+                other[k] = str(rng.choice(vocabulary))
+            texts.append(shared + other)
+    n = len(texts)
+    hashed = [words(pa.array([" ".join(t)])).hash for t in texts]
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    found = alignment.edit_distances([(hashed[i], hashed[j]) for i, j in pairs], [24] * len(pairs))
+    keys = [set(neardup.text_keys(h).tolist()) for h in hashed]
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), d in zip(pairs, found, strict=True):
+        if d <= 24 and keys[i] & keys[j]:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {i: find(i) for i in range(n)}
