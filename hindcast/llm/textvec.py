@@ -84,13 +84,18 @@ def words(column: pa.Array) -> Words:
 
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the polynomial hash, and the inverse powers that move a difference to position 0."""
-    n = len(data)
+    """Prefix sums of the polynomial hash of bytes, and the inverse powers that move a difference to position 0."""
+    return prefix_sums(_VALUE[data])
+
+
+def prefix_sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a sequence of 64-bit values."""
+    n = len(values)
     power = np.full(n + 1, BASE, dtype=np.uint64)
     power[0] = 1
     np.cumprod(power, out=power)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * power[:-1], out=total[1:])
+    np.cumsum(values * power[:-1], out=total[1:])
     inverse = np.full(n + 1, BASE_INV, dtype=np.uint64)
     inverse[0] = 1
     np.cumprod(inverse, out=inverse)

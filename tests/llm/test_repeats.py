@@ -1,13 +1,14 @@
 """Repeated byte strings against brute force, on texts with planted, periodic and copied passages."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from hindcast.llm import repeats
-from hindcast.llm.textvec import utf8
+from hindcast.llm.textvec import WORD, utf8
 
 L = repeats.LENGTH
 
@@ -27,6 +28,20 @@ def brute(texts):
     return out
 
 
+def brute_passages(texts):
+    every = [[c.lower() for c in re.findall(WORD, t or "")] for t in texts]
+    n = repeats.PASSAGE
+    seen = Counter(tuple(t[i : i + n]) for t in every for i in range(len(t) - n + 1))
+    out = []
+    for t in every:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - n + 1):
+            if seen[tuple(t[i : i + n])] > 1:
+                gone[i : i + n] = True
+        out.append((int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), int(gone.sum())))
+    return out
+
+
 def corpus(seed):
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(1, 8)))
@@ -49,8 +64,10 @@ def test_against_brute_force(spark):
     for seed in (1, 2):
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id long, text string, node binary").repartition(5)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+        rows = repeats.remove_repeats(docs).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
         assert got == dict(enumerate(brute(texts)))
+        assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows} == dict(enumerate(brute_passages(texts)))
 
 
 def test_runs_cover_all_starts():
@@ -69,6 +86,6 @@ def test_runs_cover_all_starts():
 def test_empty_and_null(spark):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, "é" * 300), (1, "é" * 300)], "doc_id long, text string")
     empty = hashlib.sha256(b"").hexdigest()
-    rows = sorted((tuple(r) for r in repeats.remove_repeats(docs).collect()), key=str)
+    rows = sorted((tuple(r)[:5] for r in repeats.remove_repeats(docs).collect()), key=str)
     assert rows == sorted([(None, 0, 0, 0, empty), (1, 0, 0, 0, empty), (1, 600, 600, 1, empty), (1, 600, 600, 1, empty)], key=str)
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
