@@ -69,7 +69,7 @@ def collate(batch: pd.DataFrame, split: bool = True) -> dict[str, np.ndarray]:
     if split and "boolean_value" in batch:
         label = batch["boolean_value"]
         out["censored"] = label.isna().to_numpy()
-        out["occurs"] = label.fillna(False).astype(bool).to_numpy()
+        out["occurs"] = (label == True).to_numpy(dtype=bool)  # noqa: E712 - null compares as false
     return out
 
 
