@@ -5,6 +5,11 @@ Each stage is (name, function) in STAGES; a function takes (spark, docs, sf_dir)
 which run() writes as Parquet in the shared folder and rereads as the next stage's docs. All stages
 but the last return the columns of documents. ORACLE_SQL is None: SQL can't express the toxicity
 model, the alignments or the tokenizer, so the tests hold every stage against brute force instead.
+
+Null texts stay null and count as empty; rows that repeat both doc_id and text, and texts that are equal or
+empty, are near duplicates of each other, of which the least doc_id stays; a null doc_id is an id like others,
+the last one. Empty tables give none; without labels no document is toxic, without benchmark items none is
+leaked. Other columns of documents are left out.
 """
 
 from __future__ import annotations
