@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: set[str] = set()  # stored tables of this process that have not been dropped yet
+
+
 def ensure_shared(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder the cluster names; only without one (tests) use a local one."""
+    """Point checkpoints at the shared folder the cluster names. Only a session in one process may do without, and gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hindcast-checkpoint-"))
 
 
+@contextmanager
+def scan_filters(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the optimizer may put Bloom filters under shuffles of scans from 1 MB on; the session's own setting comes back after."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1MB")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which survives the loss of executors."""
     ensure_shared(df.sparkSession)
@@ -46,7 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back; the caller drops it by its path."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with scan_filters(df.sparkSession):
+        df.write.parquet(path)
+    _HELD.add(path)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -62,15 +82,20 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _HELD.discard(path)
+
+
+def sweep(spark: SparkSession, *keep: str) -> None:
+    """Drop what is left of stored tables, once results that were made from them have been written elsewhere."""
+    drop(spark, *(_HELD - set(keep)))
 
 
 def pick(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of docs (with column node) whose node is in a stored table (node, n), n being positive.
 
-    The join is left to the optimizer, which may put a Bloom filter of the wanted nodes, of bounded size,
-    under the shuffle, so that other texts need not move; from which size of scan on it does so is set here.
+    The join is left to the optimizer, which may, in a plan that `stored` writes, put a Bloom filter of the wanted
+    nodes, of bounded size, under the shuffle, so that other texts need not move.
     """
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     return docs.join(nodes.where("n > 0").select("node"), "node", "left_semi")
 
 
