@@ -30,11 +30,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the tables between stages are dropped as soon as they have been read."""
-    docs, before = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), None
+    """All stages over documents; what a stage has stored is dropped as soon as its result has been written."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in STAGES:
         docs, path = common.stored(stage(spark, docs, sf_dir))
-        if before:
-            common.drop(spark, before)
-        before = path
+        common.sweep(spark, path)
     return docs
