@@ -166,17 +166,17 @@ def read_predictions_csv(spark: SparkSession, path: str, code: str = "code", pro
 
 
 def validate_task_dir(spark: SparkSession, path: str) -> list[str]:
-    """Task files of a directory: only Parquet, at least one; more than one is worth a warning."""
+    """Task files of a directory: only Parquet files or directories of shards, at least one; more than one file is worth a warning."""
     if not files.is_dir(spark, path):
         raise NotADirectoryError(f"{path} is no directory")
-    names = [n for n, _ in files.entries(spark, path) if not n.startswith(("_", "."))]
-    if other := [n for n in names if not n.endswith(".parquet")]:
+    found = [(n, is_dir) for n, is_dir in files.entries(spark, path) if not n.startswith(("_", "."))]
+    if other := [n for n, is_dir in found if not n.endswith(".parquet") and not (is_dir and n.startswith("shard="))]:
         raise ValueError(f"{path} holds files that aren't Parquet: {sorted(other)[:5]}")
-    if not names:
+    if not found:
         raise FileNotFoundError(f"{path} holds no Parquet file")
-    if len(names) > 1:
-        warnings.warn(f"{path} holds {len(names)} files; all are read", stacklevel=2)
-    return sorted(names)
+    if sum(n.endswith(".parquet") for n, _ in found) > 1:
+        warnings.warn(f"{path} holds {len(found)} files; all are read", stacklevel=2)
+    return sorted(n for n, _ in found)
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:

@@ -206,6 +206,7 @@ def test_evaluation_sampling(spark):
 def test_evaluation_run(spark, data_dir, tmp_path):
     out = evaluation.run_tasks(spark, data_dir, str(tmp_path), "train", SYNTHETIC[:2], [30, 60], 2, 5)
     tasks = spark.read.parquet(out)
+    assert sorted(logs.read_tasks(spark, out).collect()) == sorted(tasks.drop("shard").collect())  # what prediction reads
     assert tasks.columns == [*TASK_QUERY.columns, "shard"] and tasks.where("boolean_value is null").count() == 0 and tasks.count() > 0
     assert evaluation.run_tasks(spark, data_dir, str(tmp_path), "train", SYNTHETIC[:2], [30, 60], 2, 5) is None
     # a shard that is missing is made again, alike, and the others are left alone
