@@ -188,8 +188,9 @@ def test_long_texts(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {0: 0, 1: 0, 2: 2}
 
 
-def test_families_in_large_buckets_are_joined_up(spark):
+def test_families_in_large_buckets_are_joined_up(spark, monkeypatch):
     """A passage that most of each text consists of, in many texts: groups, lone texts and pairs, against all alignments."""
+    monkeypatch.setattr(neardup, "PASSES", 2)  # any number gives the same pairs; the other tests run them all
     rng = np.random.default_rng(17)
     shared, vocabulary = [f"s{i}" for i in range(90)], [f"w{i}" for i in range(900)]
     texts = []
