@@ -27,6 +27,8 @@ stay as they are. Only DataFrame functions run.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from .common import drop, pick, stored, table
 SIMILARITY = 0.8
 OVERLAP = SIMILARITY / (1 + SIMILARITY)  # of the sum of two sizes, which similar sets have in common at least
 BUCKETS = 1 << 16
+WIDE = 4
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REST = (1 << 31) - 1
@@ -136,8 +139,8 @@ def posted_pairs(sets: DataFrame, late: int) -> DataFrame:
 
 
 def similar() -> F.Column:
-    """Whether text_a and text_b are similar."""
-    x, y = F.array_distinct(line_words(F.col("text_a"))), F.array_distinct(line_words(F.col("text_b")))
+    """Whether a_text and b_text are similar."""
+    x, y = F.array_distinct(line_words(F.col("a_text"))), F.array_distinct(line_words(F.col("b_text")))
     return both_sizes(F.size(x), F.size(y), F.size(F.array_intersect(x, y)))
 
 
@@ -145,6 +148,13 @@ def both_sizes(x: F.Column, y: F.Column, both: F.Column) -> F.Column:
     return both >= SIMILARITY * (x + y - both) - 1e-9
 
 
+def wide_map(k: int) -> F.Column:
+    """Part k of a parity map of 64 * WIDE bits of the column hashes."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    own = lambda h: F.shiftright(h, 6).bitwiseAND(WIDE - 1) == k
+    return F.aggregate("hashes", F.lit(0).cast("long"), lambda m, h: F.when(own(h), m.bitwiseXOR(bit(h))).otherwise(m))
+
+
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
     """Ids of the later sets of candidate pairs (a, b) that are similar."""
     spark = docs.sparkSession
@@ -156,11 +166,19 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[Data
     lines = rows.select("d.doc_id", "d.node", F.split("text", "\n").alias("content"), F.explode("lines").alias("at"))
     lines = lines.select("at.id", F.struct("doc_id", F.col("node").alias("key"), F.col("at.line").alias("line")).alias("place"), F.element_at("content", F.col("at.line") + 1).alias("text"))
     # rows that repeat doc_id and text give one line
-    lines, p_lines = stored(lines.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.*"))
-    side = lambda c: lines.select(F.col("id").alias(c), F.col("place").alias(f"place_{c}"), F.col("text").alias(f"text_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(similar())
-    found, path = stored(both.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    drop(spark, p_wanted, p_lines)
+    lines = lines.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.*")
+    lines = lines.withColumn("hashes", F.transform(F.array_distinct(line_words(F.col("text"))), lambda w: F.xxhash64(w)))
+    lines, p_lines = stored(lines.select("id", "place", "text", F.size("hashes").alias("size"), *(wide_map(k).alias(f"map{k}") for k in range(WIDE))))
+    # wider maps than the posted ones, of the lines in question alone, so that few pairs carry their texts along
+    side = lambda c, *of: lines.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in of))
+    maps = ("size", *(f"map{k}" for k in range(WIDE)))
+    bits = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_map{k}").bitwiseXOR(F.col(f"b_map{k}"))) for k in range(WIDE)))
+    sizes = F.col("a_size") + F.col("b_size")
+    close = pairs.select("a", "b").join(side("a", *maps), "a").join(side("b", *maps), "b").where(bits <= sizes - 2 * F.ceil(sizes * OVERLAP - 1e-9))
+    close, p_close = stored(close.select("a", "b"))
+    both = close.join(side("a", "place", "text"), "a").join(side("b", "place", "text"), "b").where(similar())
+    found, path = stored(both.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    drop(spark, p_wanted, p_lines, p_close)
     return found, path
 
 
