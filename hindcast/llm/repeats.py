@@ -102,11 +102,6 @@ def run_column(part: pa.RecordBatch) -> dict:
     return out | {"node": part.column("node").take(pa.array(found["doc"]))}
 
 
-def anchor_column(part: pa.RecordBatch) -> dict:
-    values, n = np.unique(runs_of(*utf8(part.column("text")))["anchor"], return_counts=True)
-    return {"anchor": values, "n": n}
-
-
 def context_column(part: pa.RecordBatch) -> dict:
     """Stretches of bytes around the runs that are still open."""
     out: dict[str, list] = {k: [] for k in ("node", "anchor", "at", "low", "high", "context")}
@@ -199,6 +194,15 @@ def repeated(rows: DataFrame, *keys: str) -> tuple[DataFrame, str]:
     return stored(rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
 
 
+def shared_runs(runs: DataFrame) -> tuple[DataFrame, str]:
+    """Runs whose anchor occurs more than once; copies of a text have one name and one row for each run."""
+    every, p_every = stored(runs)
+    anchors, p_anchors = repeated(every, "anchor")
+    out = stored(every.join(anchors, "anchor").groupBy("node", "anchor", "outer", "at", "low", "high").agg(F.count(F.lit(1)).alias("n")))
+    drop(runs.sparkSession, p_every, p_anchors)
+    return out
+
+
 def told_runs(runs: DataFrame) -> tuple[DataFrame, str]:
     """Runs, each marked whether its whole stretch recurs."""
     shape = ["anchor", "outer", (F.col("at") - F.col("low")).alias("before"), (F.col("high") - F.col("low")).alias("width")]
@@ -248,11 +252,9 @@ def passages(docs: DataFrame) -> tuple[DataFrame, str]:
     """(node, n_passages, n_passage_words) of texts with passages of PASSAGE words or more that recur, and the stored table."""
     spark = docs.sparkSession
     long = named(docs).where(F.octet_length("text") >= PASSAGE).select("node", "text")
-    every, p_every = stored(map_slices(long, word_run_column, _RUNS_SQL, _RUNS))
-    anchors, p_anchors = repeated(every, "anchor")
-    runs, p_runs = stored(every.join(anchors, "anchor").groupBy("node", "anchor", "outer", "at", "low", "high").agg(F.count(F.lit(1)).alias("n")))
-    drop(spark, p_every, p_anchors)
+    runs, p_runs = shared_runs(map_slices(long, word_run_column, _RUNS_SQL, _RUNS))
     marked, p_marked = told_runs(runs)
+    drop(spark, p_runs)
     runs_at, p_open = open_runs(marked)
     texts_of = pick(long, runs_at).groupBy("node").agg(F.first("text").alias("text")).join(runs_at, "node").select("node", "text", "runs")
     starts, p_starts = stored(map_slices(texts_of, word_start_column, _STARTS_SQL, _STARTS))
@@ -265,7 +267,7 @@ def passages(docs: DataFrame) -> tuple[DataFrame, str]:
     fresh = found.withColumn("reach", reach).withColumn("new", F.col("reach").isNull() | (F.col("start") > F.col("reach")))
     covered = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("reach", F.col("start"))), F.lit(0))
     out = stored(fresh.groupBy("node").agg(F.count_if("new").alias("n_passages"), F.sum(covered).cast("long").alias("n_passage_words")))
-    drop(spark, p_runs, p_marked, p_open, p_starts, p_keys)
+    drop(spark, p_marked, p_open, p_starts, p_keys)
     return out
 
 
@@ -273,19 +275,16 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """(node, start, end) of strings that recur, and the stored tables that it reads."""
     spark = docs.sparkSession
     long = named(docs).where(F.octet_length("text") >= LENGTH).select("node", "text")
-    counts = map_slices(long, anchor_column, "anchor long, n long", pa.schema([("anchor", pa.int64()), ("n", pa.int64())]))
-    anchors, p_anchors = stored(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    runs = map_slices(long, run_column, _RUNS_SQL, _RUNS).join(anchors, "anchor")
-    # copies of a text have one name and one row for each run
-    runs, p_runs = stored(runs.groupBy("node", "anchor", "outer", "at", "low", "high").agg(F.count(F.lit(1)).alias("n")))
+    runs, p_runs = shared_runs(map_slices(long, run_column, _RUNS_SQL, _RUNS))
     marked, p_marked = told_runs(runs)
+    drop(spark, p_runs)
     full = marked.where("whole").select("node", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     runs_at, p_wanted = open_runs(marked)
     contexts_arrow = pa.schema([("node", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
     found = pick(long, runs_at).groupBy("node").agg(F.first("text").alias("text")).join(runs_at, "node").select("node", "text", "runs")
     contexts = map_slices(found, context_column, "node binary, anchor long, at int, low int, high int, context binary", contexts_arrow)
     contexts, p_contexts = stored(contexts)
-    drop(spark, p_anchors, p_runs, p_wanted)
+    drop(spark, p_wanted)
     cells_arrow = pa.schema([("node", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("cell", pa.int32()), ("inner", pa.int64()), ("outer", pa.int64())])
     cells = map_slices(contexts, cell_column, "node binary, anchor long, at int, cell int, inner long, outer long", cells_arrow, column="context")
     inner, p_inner = repeated(cells, "anchor", "inner")
