@@ -2,7 +2,8 @@
 
 Seeds are the rare word trigrams of the test items. A first pass counts every trigram of the items over all
 texts. An item keeps its rarest ones, one more than changed words could spoil in a passage that still has the
-score, so that what is left out, its commonest phrases, is never the only evidence. A second pass finds the
+score, and of the others those that are no more than COMMON times as frequent: so what is left out are phrases
+of everyday language, not a part of the item that was copied often. A second pass finds the
 seeds in every text; hits near one diagonal of an item give a window. A window that has too few of the
 item's words for the score, in whatever order, is skipped, which loses nothing: an alignment matches no more
 words than both sides have in common. Other windows are aligned with the item: match +1, mismatch and gap
@@ -34,6 +35,7 @@ from .textvec import Words, ngrams, words
 
 SEED = 3
 LEAST = 0.5
+COMMON = 16
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 
@@ -84,7 +86,7 @@ def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 def rarest(items: Items, counts: np.ndarray) -> Items:
-    """The block with the rarest seeds of each item: one more than so many changed words could spoil as leave the score in reach."""
+    """The block with the rarest seeds of each item, one more than so many changed words could spoil as leave the score in reach, and others that aren't common."""
     n = counts[np.searchsorted(np.unique(items.seeds), items.seeds)] if len(items.seeds) else counts
     order = np.lexsort((items.place, items.seeds, n, items.owner))
     owner = items.owner[order]
@@ -92,7 +94,12 @@ def rarest(items: Items, counts: np.ndarray) -> Items:
     length = np.array([len(t) for t in items.tokens], dtype=np.int64)
     # a changed word is one match less and one mismatch more, and spoils SEED trigrams at most
     spoilt = SEED * np.floor((1 - LEAST) / 2 * length + 1e-9).astype(np.int64)
-    kept = np.sort(order[rank <= spoilt[owner]]) if len(owner) else order
+    if not len(owner):
+        return items
+    # the middle count of the seeds that an item keeps anyway
+    first, have = np.searchsorted(owner, owner), np.bincount(owner, minlength=len(length))
+    middle = n[order][first + (np.minimum(have[owner], spoilt[owner] + 1) - 1) // 2]
+    kept = np.sort(order[(rank <= spoilt[owner]) | (n[order] <= COMMON * (1 + middle))])
     return Items(items.ids, items.tokens, items.seeds[kept], items.owner[kept], items.place[kept])
 
 
