@@ -278,8 +278,9 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     runs, p_runs = shared_runs(map_slices(long, run_column, _RUNS_SQL, _RUNS))
     marked, p_marked = told_runs(runs)
     drop(spark, p_runs)
-    full = marked.where("whole").select("node", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
+    full, p_full = stored(marked.where("whole").select("node", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")))
     runs_at, p_wanted = open_runs(marked)
+    drop(spark, p_marked)
     contexts_arrow = pa.schema([("node", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
     found = pick(long, runs_at).groupBy("node").agg(F.first("text").alias("text")).join(runs_at, "node").select("node", "text", "runs")
     contexts = map_slices(found, context_column, "node binary, anchor long, at int, low int, high int, context binary", contexts_arrow)
@@ -301,9 +302,10 @@ def intervals(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     rest = told.where(~F.col("whole")).select("node", "at", "cell").union(one.select("r.*")).groupBy("node", "at").agg(F.collect_list("cell").alias("cells"))
     starts = map_slices(contexts.join(rest, ["node", "at"]), start_column, _STARTS_SQL, _STARTS, column="context")
     starts, p_starts = stored(starts)
+    drop(spark, p_contexts)
     keys, p_keys = repeated(starts, "anchor", "key")
     by_start = starts.join(keys, ["anchor", "key"]).select("node", "start", (F.col("start") + LENGTH).alias("end"))
-    return full.union(by_cell).union(by_start), [p_marked, p_contexts, p_told, p_starts, p_keys]
+    return full.union(by_cell).union(by_start), [p_full, p_told, p_starts, p_keys]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
