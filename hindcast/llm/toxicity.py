@@ -21,14 +21,17 @@ sum of their evidence, and a one-variable logistic map that is fitted on the cal
 
 Only text is an input of a score. Null and empty texts have no passages and get the lowest score;
 repeated rows give repeated results; further columns are ignored; without labels of both classes
-every document scores the base rate. What is broadcast is the model: at most MAX_TOKENS tokens.
+every document scores the base rate. The fit is one task of a worker; what the driver holds and broadcasts is the
+model: at most MAX_TOKENS tokens.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,17 +254,32 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     rows = texts(docs).join(F.broadcast(ids), "doc_id")  # at most `most` ids
     # one text for each labelled id, so that the sample stays bounded however often an id repeats
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sample, size = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        size += len(r.text or "")
-        if sample and size > MAX_BYTES:
-            break
-        sample.append((r.doc_id, r.text, r.toxic))
     # the sample's shares of the classes are bounded apart; weights restore those of all usable labels
     totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    taken = Counter(y for *_, y in sample)
-    weights = tuple(totals.get(y, 0) / taken[y] * len(sample) / sum(totals.values()) if taken[y] else 1.0 for y in (0, 1))
-    return fit(sample, weights)
+
+    def learn(batches):
+        sample = bounded(batches)
+        taken = Counter(y for *_, y in sample)
+        weights = tuple(totals.get(y, 0) / taken[y] * len(sample) / sum(totals.values()) if taken[y] else 1.0 for y in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample, weights))], pa.binary())], names=["model"])
+
+    # one task of a worker fits, so that the driver never holds the texts and their tokens
+    ordered = rows.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    models = ordered.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(models[0].model) if models else fit([])
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, str | None, int]]:
+    """The first rows (doc_id, text, label) of the batches, MAX_BYTES of their texts."""
+    sample, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+                size += len(row[1] or "")
+                if sample and size > MAX_BYTES:
+                    return sample
+                sample.append(row)
+    return sample
 
 
 _SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, passages string"

@@ -125,3 +125,12 @@ def test_texts_that_share_a_passage_stay_in_the_sample():
     assert len(toxicity.distinct(rows)) == 20
     assert len(toxicity.distinct([*rows, *((50 + i, t + " more", 0) for i, t, _ in rows)])) == 20
     assert len(toxicity.distinct([*rows, *((50 + i, t, 1) for i, t, _ in rows)])) == 40
+
+
+def test_driver_holds_no_texts(spark, monkeypatch):
+    """The fit runs in a worker, not in the driver's process."""
+    made = toxicity.Model
+    monkeypatch.setattr(toxicity, "fit", lambda rows, weights=(1.0, 1.0): made(None, None, len(rows), 0.0, 0.0, 1.0, 0.0, 0.0, float(os.getpid())))
+    docs = spark.createDataFrame([(i, "a b c", i % 2) for i in range(50)], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert model.rate != os.getpid() and model.other == sum(not toxicity.held_out(i) for i in range(50))
