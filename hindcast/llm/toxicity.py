@@ -226,17 +226,28 @@ def fit(rows: list[tuple[int, str | None, int]], weights: tuple[float, float] =
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """One-variable weighted logistic regression by Newton steps with a small ridge."""
-    beta = np.array([1.0, -1.0])
+    """One-variable weighted logistic regression by Newton steps with a small ridge.
+
+    A step is halved until the loss falls, so the fit also ends where the classes lie far apart and whole steps swing.
+    """
     design = np.stack([x, np.ones_like(x)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.005 * float(beta @ beta)
+
+    beta = np.array([1.0, -1.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         gradient = design.T @ (weight * (y - p)) - 0.01 * beta
         hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step, now = np.linalg.solve(hessian, gradient), loss(beta)
+        # a quarter of the fall that the slope promises is asked for
+        while np.abs(step).max() >= 1e-9 and loss(beta + step) > now - 0.25 * float(gradient @ step):
+            step = step / 2
+        if np.abs(step).max() < 1e-9:
             break
+        beta = beta + step
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 

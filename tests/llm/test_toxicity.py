@@ -81,6 +81,18 @@ def test_bounded_sample_keeps_the_class_share(spark):
     assert mean(toxicity.train(docs, labels, 600)) == pytest.approx(0.1, abs=0.03)
 
 
+def test_logistic_map_reaches_its_optimum():
+    """Also of many rows whose classes lie apart, where whole Newton steps swing."""
+    for high, low in ((2.5, 2.3), (3.0, 2.3), (4.0, 0.8)):
+        x = np.concatenate([np.linspace(0, low, 4000), np.linspace(high, high + 2, 2000)])
+        y = np.repeat([0.0, 1.0], [4000, 2000])
+        weight = np.where(y == 1, 0.3, 1.35)
+        slope, offset = toxicity.logistic(x, y, weight)
+        rest = weight * (y - 1 / (1 + np.exp(-(slope * x + offset))))
+        assert abs(rest @ x - 0.01 * slope) < 1e-3 and abs(rest.sum() - 0.01 * offset) < 1e-3
+        assert ((slope * x + offset > 0) == (y == 1)).all()
+
+
 def test_scores_against_plain_python(spark):
     """Words, their strongest tokens, segments by definition, tail probabilities and their sum, without the operator's arrays."""
     import math
