@@ -12,8 +12,10 @@ line for each set. Its tokens are ordered by rarity: a histogram of tokens over
 number of BUCKETS) gives each token a class, ties go by hash; the order is total, so the filters are
 exact however coarse the histogram is. The rarest tokens, as many as two similar sets must share one
 of, are posted; of the smaller set of a pair fewer will do. Length and positional filters cut the
-pairs, and so does a 64-bit parity map of each set: sets that differ in d tokens have maps that differ
-in at most d bits. Jaccard is verified on the words of the lines themselves.
+pairs, and so do parity maps of each set: sets that differ in d tokens have maps that differ in at most d
+bits. Posted tokens carry maps of 64 bits, of larger sets twice as many; pairs then meet maps of 64 * WIDE bits
+before anything else is done with them. Tokens are posted and joined in PASSES parts, so that only one part's
+shuffle files stand at a time. Jaccard is verified on the words of the lines themselves.
 
 Only whether an earlier match exists counts, so families of near copies need not meet pair by pair:
 first each set is held against the earliest holder of its least and of its greatest token hashes, a
@@ -37,8 +39,12 @@ from .common import drop, pick, stored, table
 SIMILARITY = 0.8
 OVERLAP = SIMILARITY / (1 + SIMILARITY)  # of the sum of two sizes, which similar sets have in common at least
 BUCKETS = 1 << 16
-WIDE = 4
+WIDE = 4  # an even number of longs
+LARGE = 40  # larger sets have two longs of their parity map posted, others one
+PASSES = 3
+MAPS = tuple(f"map{k}" for k in range(WIDE))
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+IN_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 REST = (1 << 31) - 1
 
@@ -61,8 +67,10 @@ def place() -> F.Column:
 def line_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, key, line, name, name2, tokens) of each line with tokens: 31 bits of the hashes of its distinct words, in the order of the whole hashes, and two hashes of all of those."""
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    # not a filter of the hashes, which would hash every line once for it and once more for what it keeps
+    lines = lines.where(F.col("content").rlike(IN_WORD))
     hashed = F.sort_array(F.array_distinct(F.transform(line_words(F.col("content")), lambda w: F.xxhash64(w))))
-    sets = lines.select("doc_id", "key", "line", hashed.alias("hashes")).where(F.size("hashes") > 0)
+    sets = lines.select("doc_id", "key", "line", hashed.alias("hashes"))
     names = F.xxhash64("hashes").alias("name"), F.xxhash64(F.lit(1), "hashes").alias("name2")
     return sets.select("doc_id", "key", "line", *names, F.transform("hashes", lambda h: h.bitwiseAND(REST).cast("int")).alias("tokens"))
 
@@ -82,17 +90,30 @@ def prefix_size(size: F.Column, least: F.Column) -> F.Column:
 
 
 def described(sets: DataFrame, classes: F.Column) -> DataFrame:
-    """One row for each set: name, place of its first line, size, parity map, sketch keys, and prefix, the rarest tokens."""
+    """One row for each set: name, place of its first line, size, parity map (map0, ...), sketch keys, and prefix, the rarest tokens."""
     ordered = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(classes[t.bitwiseAND(BUCKETS - 1)], 31).bitwiseOR(t)))
     size = F.size("tokens")
     rows = sets.select(
         "name", "name2", "doc_id", "key", "line", size.alias("size"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda m, t: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63)))).alias("map"),
+        *(wide_map(k).alias(m) for k, m in enumerate(MAPS)),
         F.xxhash64(F.slice("tokens", 1, 2)).alias("low"), F.xxhash64(F.slice("tokens", F.greatest(F.lit(1), size - 1), F.lit(2))).alias("high"),
         F.transform(F.slice(ordered, F.lit(1), prefix_size(size, size * SIMILARITY)), lambda t: t.bitwiseAND(REST).cast("int")).alias("prefix"),
     )
-    first = [F.first(c).alias(c) for c in ("size", "map", "low", "high", "prefix")]
-    return rows.groupBy("name", "name2").agg(F.min(place()).alias("first"), *first).select("name", "name2", "first.*", *(c for c in ("size", "map", "low", "high", "prefix")))
+    of = ("size", *MAPS, "low", "high", "prefix")
+    return rows.groupBy("name", "name2").agg(F.min(place()).alias("first"), *(F.first(c).alias(c) for c in of)).select("name", "name2", "first.*", *of)
+
+
+def wide_map(k: int) -> F.Column:
+    """Part k of a parity map of 64 * WIDE bits of the column tokens."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63))
+    own = lambda t: F.shiftright(t, 6).bitwiseAND(WIDE - 1) == k
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda m, t: F.when(own(t), m.bitwiseXOR(bit(t))).otherwise(m))
+
+
+def folded() -> list[F.Column]:
+    """The maps that posted tokens carry: map of 64 bits, and half, of large sets alone, the part of it that comes of the odd longs."""
+    total = lambda names: functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, names))
+    return [total(MAPS).alias("map"), F.when(F.col("size") > LARGE, total(MAPS[1::2])).alias("half")]
 
 
 def alike(a: str, b: str) -> F.Column:
@@ -103,8 +124,9 @@ def alike(a: str, b: str) -> F.Column:
 
 
 def differing(a: str, b: str) -> F.Column:
-    """Bits in which two parity maps differ."""
-    return F.bit_count(F.col(f"{a}map").bitwiseXOR(F.col(f"{b}map")))
+    """Bits in which two parity maps differ, in two parts where both sets have them."""
+    whole, half = (F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}")) for m in ("map", "half"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)), F.bit_count(whole))
 
 
 def rank() -> F.Column:
@@ -115,22 +137,29 @@ def rank() -> F.Column:
 
 def family_pairs(firsts: DataFrame) -> DataFrame:
     """(a, b, bits, later): sets b against the earliest set a with one of their sketch keys, where both may be similar."""
-    rows = firsts.where("size > 3").select("id", "size", "map", rank().alias("rank"), F.explode(F.array("low", "high")).alias("sketch"))
-    of = [F.min_by(c, "rank").alias(f"h_{c}") for c in ("id", "size", "map", "rank")]
+    rows = firsts.where("size > 3").select("id", "size", *folded(), rank().alias("rank"), F.explode(F.array("low", "high")).alias("sketch"))
+    of = [F.min_by(c, "rank").alias(f"h_{c}") for c in ("id", "size", "map", "half", "rank")]
     heads = rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("n"), *of).where("n > 1").drop("n")
     met = rows.join(heads, "sketch").where((F.col("id") != F.col("h_id")) & alike("", "h_"))
     return met.select(F.col("h_id").alias("a"), F.col("id").alias("b"), differing("", "h_").alias("bits"), (F.col("h_rank") < F.col("rank")).alias("later")).distinct()
 
 
-def posted_pairs(sets: DataFrame, late: int) -> DataFrame:
-    """(a, b, bits): sets of state `late` with all sets that share a posted token, where both may be similar.
+def posted_pairs(sets: DataFrame, late: int) -> tuple[DataFrame, list[str]]:
+    """(a, b, bits): sets of state `late` with all sets that share a posted token, where both may be similar; and the stored tables that are read."""
+    parts = [stored(posted_part(sets, late, i)) for i in range(PASSES)]
+    return functools.reduce(DataFrame.union, (part for part, _ in parts)), [path for _, path in parts]
+
+
+def posted_part(sets: DataFrame, late: int, part: int) -> DataFrame:
+    """As posted_pairs, for the tokens of one part.
 
     The smaller set of a pair needs fewer tokens, which spares a third of the rows; sets of another state don't meet
     each other, so theirs have all tokens on the one side.
     """
-    rows = sets.where("size > 3").select("id", "size", "map", (F.col("state") != late).alias("other"), F.posexplode("prefix").alias("at", "token"))
+    rows = sets.select("id", "size", "map", "half", (F.col("state") != late).alias("other"), F.posexplode("prefix").alias("at", "token"))
+    rows = rows.where(F.shiftright("token", 16) % PASSES == part)
     fewer = F.col("at") < prefix_size(F.col("size"), F.col("size") * 2 * OVERLAP)
-    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("id", "size", "map", "at", "other")))
+    side = lambda df, c: df.select("token", *(F.col(x).alias(f"{c}_{x}") for x in ("id", "size", "map", "half", "at", "other")))
     x, y = side(rows.where(F.col("other") | fewer), "l"), side(rows.where(~F.col("other")), "r").drop("r_other")
     rest = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
     filters = (F.col("l_other") | (F.col("l_size") <= F.col("r_size"))) & (F.col("l_id") != F.col("r_id")) & alike("l_", "r_") & (rest >= F.ceil((F.col("l_size") + F.col("r_size")) * OVERLAP - 1e-9))
@@ -139,24 +168,16 @@ def posted_pairs(sets: DataFrame, late: int) -> DataFrame:
 
 
 def similar() -> F.Column:
-    """Whether a_text and b_text are similar."""
-    x, y = F.array_distinct(line_words(F.col("a_text"))), F.array_distinct(line_words(F.col("b_text")))
-    return both_sizes(F.size(x), F.size(y), F.size(F.array_intersect(x, y)))
+    """Whether a_text and b_text are similar; a_size and b_size tell their numbers of distinct words.
 
-
-def both_sizes(x: F.Column, y: F.Column, both: F.Column) -> F.Column:
-    return both >= SIMILARITY * (x + y - both) - 1e-9
-
-
-def wide_map(k: int) -> F.Column:
-    """Part k of a parity map of 64 * WIDE bits of the column hashes."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    own = lambda h: F.shiftright(h, 6).bitwiseAND(WIDE - 1) == k
-    return F.aggregate("hashes", F.lit(0).cast("long"), lambda m, h: F.when(own(h), m.bitwiseXOR(bit(h))).otherwise(m))
+    Every term stands once, as a filter evaluates it as often as it stands there.
+    """
+    both = F.size(F.array_intersect(line_words(F.col("a_text")), line_words(F.col("b_text"))))
+    return both * (1 + SIMILARITY) >= SIMILARITY * (F.col("a_size") + F.col("b_size")) - 1e-9
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, str]:
-    """Ids of the later sets of candidate pairs (a, b) that are similar."""
+    """Ids of the later sets of candidate pairs (a, b, a_size, b_size) that are similar."""
     spark = docs.sparkSession
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = involved.join(firsts.select("id", "doc_id", "key", "line"), "id").groupBy("doc_id", "key")
@@ -166,42 +187,42 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[Data
     lines = rows.select("d.doc_id", "d.node", F.split("text", "\n").alias("content"), F.explode("lines").alias("at"))
     lines = lines.select("at.id", F.struct("doc_id", F.col("node").alias("key"), F.col("at.line").alias("line")).alias("place"), F.element_at("content", F.col("at.line") + 1).alias("text"))
     # rows that repeat doc_id and text give one line
-    lines = lines.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.*")
-    lines = lines.withColumn("hashes", F.transform(F.array_distinct(line_words(F.col("text"))), lambda w: F.xxhash64(w)))
-    lines, p_lines = stored(lines.select("id", "place", "text", F.size("hashes").alias("size"), *(wide_map(k).alias(f"map{k}") for k in range(WIDE))))
-    # wider maps than the posted ones, of the lines in question alone, so that few pairs carry their texts along
-    side = lambda c, *of: lines.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in of))
-    maps = ("size", *(f"map{k}" for k in range(WIDE)))
-    bits = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_map{k}").bitwiseXOR(F.col(f"b_map{k}"))) for k in range(WIDE)))
-    sizes = F.col("a_size") + F.col("b_size")
-    close = pairs.select("a", "b").join(side("a", *maps), "a").join(side("b", *maps), "b").where(bits <= sizes - 2 * F.ceil(sizes * OVERLAP - 1e-9))
-    close, p_close = stored(close.select("a", "b"))
-    both = close.join(side("a", "place", "text"), "a").join(side("b", "place", "text"), "b").where(similar())
+    lines, p_lines = stored(lines.groupBy("id").agg(F.min(F.struct("place", "text")).alias("x")).select("id", "x.*"))
+    side = lambda c: lines.select(F.col("id").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("place", "text")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(similar())
     found, path = stored(both.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
-    drop(spark, p_wanted, p_lines, p_close)
+    drop(spark, p_wanted, p_lines)
     return found, path
 
 
 def later_sets(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Ids of sets that are the later ones of a similar pair among candidate pairs (a, b, bits).
+    """Ids of sets that are the later ones of a similar pair among candidate pairs (a, b).
 
     One match settles a set: each is held against the candidate whose map differs least first, and only those
     that this doesn't settle against the others. Pairs of lines of one doc_id, whose order only the lines'
     places tell, are all verified at once.
     """
-    ranks = firsts.select("id", rank().alias("rank"))
-    side = lambda c: ranks.select(F.col("id").alias(c), F.col("rank").alias(f"rank_{c}"))
-    first = F.col("rank_a") < F.col("rank_b")
-    ordered = pairs.join(side("a"), "a").join(side("b"), "b").select(
-        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "bits",
-        (F.shiftright("rank_a", 20) != F.shiftright("rank_b", 20)).alias("certain"),
+    both = ("a", "b", "a_size", "b_size")
+    pairs, p_pairs = stored(pairs)
+    involved, p_involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    known, p_known = stored(pick(firsts.select(F.col("id").alias("node"), rank().alias("rank"), "size", *MAPS), involved))
+    side = lambda c: known.select(F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in known.columns[1:]))
+    bits = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MAPS))
+    sizes = F.col("a_size") + F.col("b_size")
+    # wider maps than the posted ones come first, so that few pairs go any further
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= sizes - 2 * F.ceil(sizes * OVERLAP - 1e-9))
+    first = F.col("a_rank") < F.col("b_rank")
+    ordered = close.select(
+        *(F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(both, ("b", "a", "b_size", "a_size"), strict=True)),
+        bits.alias("bits"), (F.shiftright("a_rank", 20) != F.shiftright("b_rank", 20)).alias("certain"),
     )
     ordered, p_ordered = stored(ordered)
-    best = ordered.where("certain").groupBy("b").agg(F.min_by("a", "bits").alias("a")).select("a", "b")
-    best, p_best = stored(best.union(ordered.where("not certain").select("a", "b")))
+    drop(docs.sparkSession, p_pairs, p_involved, p_known)
+    best = ordered.where("certain").groupBy("b").agg(F.min_by(F.struct("a", "a_size", "b_size"), "bits").alias("x")).select("x.a", "b", "x.a_size", "x.b_size")
+    best, p_best = stored(best.union(ordered.where("not certain").select(*both)))
     settled, p_settled = verified(best, firsts, docs)
-    rest = ordered.where("certain").select("a", "b").join(settled.select(F.col("id").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
-    rest, p_rest = stored(rest.select("a", "b"))
+    rest = ordered.where("certain").select(*both).join(settled.select(F.col("id").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    rest, p_rest = stored(rest.select(*both))
     paths = [p_settled]
     if not rest.isEmpty():
         more, p_more = verified(rest, firsts, docs)
@@ -219,20 +240,24 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     drop(spark, p_sets)
     family, p_family = stored(family_pairs(firsts))
     held = family.where("later").select(F.col("b").alias("id")).distinct().withColumn("state", F.lit(1))
-    open_or_held = firsts.select("id", "size", "map", "prefix").join(held, "id", "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    # what is posted is joined with its state once, not in each pass
+    open_or_held = firsts.where("size > 3").select("id", "size", *folded(), "prefix").join(held, "id", "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    open_or_held, p_open = stored(open_or_held)
     # pairs of two sets that are held as settled are left out
-    made = posted_pairs(open_or_held, 0).union(family.select(F.least("a", "b"), F.greatest("a", "b"), "bits"))
-    pairs, p_pairs = stored(made.distinct())
-    gone, p_gone = later_sets(pairs, firsts, docs)
+    posted, p_posted = posted_pairs(open_or_held, 0)
+    drop(spark, p_open)
+    made = posted.union(family.select(F.least("a", "b"), F.greatest("a", "b"), "bits"))
+    gone, p_gone = later_sets(made.select("a", "b").distinct(), firsts, docs)
     wrong, p_wrong = stored(held.join(gone, "id", "left_anti").select("id", F.lit(2).alias("state")))
-    drop(spark, p_pairs)
+    drop(spark, *p_posted)
     paths = [p_names, p_firsts, *p_gone]
     if not wrong.isEmpty():
         states = held.join(wrong.select("id", F.lit(2).alias("is")), "id", "left").select("id", F.coalesce("is", "state").alias("state"))
-        left_out = firsts.select("id", "size", "map", "prefix").join(states, "id")
-        pairs, p_pairs = stored(posted_pairs(left_out, 2))
-        more, p_more = later_sets(pairs, firsts, docs)
-        drop(spark, p_pairs)
+        left_out, p_left = stored(firsts.where("size > 3").select("id", "size", *folded(), "prefix").join(states, "id"))
+        posted, p_posted = posted_pairs(left_out, 2)
+        drop(spark, p_left)
+        more, p_more = later_sets(posted.select("a", "b").distinct(), firsts, docs)
+        drop(spark, *p_posted)
         gone, paths = gone.union(more).distinct(), [*paths, *p_more]
     drop(spark, p_family, p_wrong)
     # a set with an earlier match loses all its lines, any other all but its first

@@ -79,3 +79,20 @@ def test_what_was_held_wrongly_is_made_up_for(spark, monkeypatch):
     docs = make(3)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()} == brute(docs)
+
+
+def test_long_lines_without_likeness_are_not_compared(spark, monkeypatch):
+    """Narrow parity maps of long lines differ in few bits by chance; such pairs must not grow with the square of the lines."""
+    made, seen = lines.verified, []
+
+    def counted(pairs, firsts, docs):
+        seen.append(pairs.count())
+        return made(pairs, firsts, docs)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1500, 150)) for _ in range(120)]
+    texts += [texts[5] + " more", "short lines of few words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in lines.dedup_lines(frame).collect() if r.n_removed} == {120}
+    assert sum(seen) == 1
